@@ -6,12 +6,12 @@ import html
 import re
 import unicodedata
 
-_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"}
+_LETTERS = {"ß": "s", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"}
 
 
 def skeleton(text: str, digraphs: bool = True) -> str:
     """Lower-case letters without accents; with ``digraphs``, ae, oe and ue count as ä, ö and ü do."""
-    text = text.casefold()
+    text = text.lower()
     if "&" in text:
         text = html.unescape(text)
     text = unicodedata.normalize("NFC", text)
