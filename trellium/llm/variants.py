@@ -86,6 +86,27 @@ def near_names(names: DataFrame, col: str, k: int = 1) -> DataFrame:
     return candidates.withColumn("distance", distance("a", "b")).filter("distance is not null")
 
 
+def near_keys(names: DataFrame, key: str, plain: str) -> DataFrame:
+    """Pairs ``a < b`` of keys of which some form, ``key`` itself or ``plain``, is within one edit of the other's."""
+    forms = names.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.array(key, plain))).alias("form")).distinct()
+    near = near_names(forms, "form").select("a", "b").unionByName(forms.select(F.col("form").alias("a"), F.col("form").alias("b")))
+    left, right = (forms.select(F.col("key").alias(c), F.col("form").alias(f)) for c, f in (("x", "a"), ("y", "b")))
+    near = near.join(left, "a").join(right, "b").filter("x <> y")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def fold_rare(names: DataFrame, key: str, plain: str) -> DataFrame:
+    """``x, root``: each key with the most frequent one that it is a misspelling of, itself if none."""
+    counts = names.groupBy(F.col(key).alias("x")).agg(F.count("*").alias("n"))
+    near = near_keys(names, key, plain)
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = counts.select(F.col("x").alias("b"), F.col("n").alias("y_n"))
+    heavier = (F.col("y_n") > F.col("n")) | ((F.col("y_n") == F.col("n")) & (F.col("b") < F.col("a")))
+    best = ways.join(counts.withColumnRenamed("x", "a"), "a").join(other, "b").filter(heavier).groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("y_n", "b")).alias("parent"))
+    parents = counts.join(best, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"))
+    return follow_parents(parents, "rare-names")
+
+
 def follow_parents(parents: DataFrame, name: str) -> DataFrame:
     """``x, parent`` (every x once) to ``x, root`` by pointer doubling."""
     current = cut(parents.select("x", F.col("parent").alias("root")), name)
@@ -125,11 +146,7 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
     parsed = cut(parsed, "employer-names")
     nodes = parsed.groupBy("core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals"))
     nodes = cut(nodes.withColumn("x", _node(F.col("core"), F.col("trade"))), "employer-nodes")
-    forms = parsed.select("core", F.explode(F.array_distinct(F.array("core", "plain"))).alias("form")).distinct()
-    near = near_names(forms, "form").select("a", "b").unionByName(forms.select(F.col("form").alias("a"), F.col("form").alias("b")))
-    left, right = (forms.select(F.col("core").alias(c), F.col("form").alias(f)) for c, f in (("core", "a"), ("y_core", "b")))
-    near = near.join(left, "a").join(right, "b").filter("core <> y_core")
-    near = cut(near.select(F.least("core", "y_core").alias("a"), F.greatest("core", "y_core").alias("b")).distinct(), "employer-near")
+    near = cut(near_keys(parsed, "core", "plain"), "employer-near")
 
     other = nodes.select(*[F.col(c).alias(f"y_{c}") for c in nodes.columns])
     both_ways = near.select(F.col("a").alias("core"), F.col("b").alias("y_core")).unionByName(near.select(F.col("b").alias("core"), F.col("a").alias("y_core")))
