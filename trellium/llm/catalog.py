@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PROBLEMS = ("p2", "p3", "p4", "p6", "p7")
+_PROBLEMS = ("p2", "p3", "p4", "p6", "p7", "p10")
 
 
 def _modules():
