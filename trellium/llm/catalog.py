@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PROBLEMS = ("p2", "p3", "p4", "p6", "p7", "p8", "p9", "p10")
+_PROBLEMS = ("p1", "p2", "p3", "p4", "p6", "p7", "p8", "p9", "p10")
 
 
 def _modules():
