@@ -88,8 +88,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block_tok
         raise ValueError(f"at most {MAX_SOURCES} sources")
     wanted = sorted((r[0], float(r[1] or 0.0), int(r[2] or 0)) for r in rows)
     listed = spark.createDataFrame([(s,) for s, _, _ in wanted], "source string")
-    base = docs.select("id", "source", F.col("size").cast("bigint").alias("size")).join(F.broadcast(listed), "source").filter("size > 0")
-    base = cut(base.withColumn("h", F.xxhash64("id", F.lit(seed))), "mix-docs")
+    base = docs.select("id", "source", F.col("size").cast("bigint").alias("size")).join(F.broadcast(listed), "source")
+    # sizes may come from a Python function: written once before anything filters on them
+    base = cut(base.withColumn("h", F.xxhash64("id", F.lit(seed))), "mix-docs").filter("size > 0")
     sizes = {r[0]: (int(r[1]), int(r[2])) for r in base.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}
     quotas, aimed = plan_quotas({s: t for s, (t, _) in sizes.items()}, wanted, total)
     order = sorted(quotas)
