@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trellium.plans import orphans
+from trellium.plans import keyed, memory, orphans
 
-_MODULES = (orphans,)
+_MODULES = (memory, keyed, orphans)
 
 
 def queries():
