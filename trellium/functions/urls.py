@@ -96,7 +96,7 @@ def normal_path(path: Column) -> Column:
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
     )
     dotted = path.rlike(r"(^|/)\.{1,2}(/|$)")
-    plain = ~dotted & ~path.contains("//")
+    plain = path.startswith("/") & ~dotted & ~path.contains("//")
     body = F.when(dotted, F.array_join(stack, "/")).otherwise(simple)
     return F.when(plain, F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))).otherwise(F.concat(lead, body))
 
@@ -198,3 +198,81 @@ def render_search_url(q: Column | str, template: Column) -> Column:
     x = F.replace(template, F.lit("{query}"), quote_plus(_c(q)))
     x = F.replace(x, F.lit("{query_plus}"), quote_plus(_c(q)))
     return F.replace(x, F.lit("{query_slug}"), query_slug(q))
+
+
+# Addresses and link texts that are never followed, and shapes of detail addresses.
+DENIED_URLS = [
+    r"/career/(zh|ja|ko|fr|it|es|pt|pl|cs|hu|ru|tr|nl|sv|fi|da|no)([_/]|$)", r"linkedin\.com/(signup|legal|feed|checkpoint|authwall|uas/login)", r"/signup", r"/login", r"/signin", r"/sign-in", r"/account", r"/checkout", r"/cart",
+    r"/apply/submit", r"/application/submit", r"/anmelden", r"/einloggen", r"/konto", r"/registrieren", r"/bewerbung/absenden", r"/bewerben/absenden", r"initiativbewerbung", r"initativbewerbung", r"initiative[-_ ]?application",
+    r"speculative[-_ ]?application", r"unsolicited[-_ ]?application", r"spontanbewerbung", r"spontaneous[-_ ]?application", r"talent[-_ ]?pool", r"talent[-_ ]?community", r"general[-_ ]?application",
+]
+DENIED_TEXTS = [
+    r"^apply now$", r"^submit application$", r"^log in$", r"^sign in$", r"^register$", r"^jetzt bewerben$", r"^bewerben$", r"^bewerbung absenden$", r"^anmelden$", r"^einloggen$", r"^registrieren$", r"initiativbewerbung", r"initativbewerbung",
+    r"initiative application", r"speculative application", r"unsolicited application", r"spontanbewerbung", r"spontaneous application", r"talent pool", r"talent community", r"general application",
+]
+DETAIL_URLS = [
+    r"linkedin\.com/jobs/view/", r"indeed\.[^/]+/viewjob\?", r"/jobs/view/", r"/jobs/detail/", r"/job-detail", r"/jobdetail", r"/jobad", r"/stellenangebot/", r"/stellenanzeige/", r"/stellenangebote--",
+    r"/(job|jobs|position|positions|vacancy|opening|stellenangebot|stellenanzeige|stelle)[-/][0-9a-z_-]{8,}", r"/(job|jobs|positions?)/[^/?#]*[0-9][^/?#]*",
+    r"(jobid|job_id|requisition|reqid|jobposting|posting|stellenid|stellennummer|jobnumber|jk)=", r"(greenhouse\.io|lever\.co|workdayjobs\.com|smartrecruiters\.com|personio\.de|join\.com|teamtailor\.com)",
+]
+INDEX_URLS = [
+    r"/stellensuche(\.html)?($|[?#])", r"/job-search(\.html)?($|[?#])", r"/jobs/search($|[/?#])", r"/jobs/?($|[?#])", r"/stellenangebote/?($|[?#])", r"/stellenanzeigen/?($|[?#])", r"/jobs/in-", r"/jobs/[^/?#]+/in-", r"/career/?$", r"/careers/?$",
+    r"/career/.*/home(\.html)?$", r"/career/.*/standorte/", r"/career/.*/locations/", r"/standorte/", r"/locations/",
+]
+GENERIC_SLUG_WORDS = ["job", "jobs", "career", "careers", "karriere", "stellen", "stellenangebote", "stellenangebot", "angebote", "html", "de", "en", "mwd", "wmd", "fmd", "all", "genders", "muenchen", "munich", "germany", "deutschland"]
+LISTING_KEYS = ["sort", "sortdir", "showfavorites", "change_c", "locale", "language", "lang"]
+
+
+def alternation(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def denied(url: Column, text: Column) -> Column:
+    """Whether a link must not be followed, by its address or its text."""
+    urls, texts = "(?iU)" + alternation(DENIED_URLS), "(?iU)" + alternation(DENIED_TEXTS)
+    t = F.coalesce(text, F.lit(""))
+    return url.rlike(urls) | t.rlike(urls) | t.rlike(texts)
+
+
+def detail_like(url: Column) -> Column:
+    return url.rlike("(?iU)" + alternation(DETAIL_URLS))
+
+
+def index_like(url: Column) -> Column:
+    return url.rlike("(?iU)" + alternation(INDEX_URLS))
+
+
+def readable_slug(url: Column) -> Column:
+    """Whether the last path segment holds two telling words."""
+    last = F.element_at(F.split(F.regexp_replace(F.lower(unquote(url_path(url))), "/+$", ""), "/"), -1)
+    tokens = F.regexp_extract_all(last, F.lit("([a-zäöüß]{3,})"), F.lit(1))
+    return F.size(F.filter(tokens, lambda t: ~t.isin(GENERIC_SLUG_WORDS))) >= 2
+
+
+def unfocused_listing(url: Column, has_role: Column) -> Column:
+    """Whether a query string only sorts, filters or switches a listing, with no role named."""
+
+    def judge(pairs: Column) -> Column:
+        filled = F.filter(pairs, lambda p: p["v"] != "")
+        keys = F.transform(filled, lambda p: F.lower(p["k"]))
+        wildcard = F.exists(filled, lambda p: F.trim(p["v"]).isin("*", "%2a", "%2A"))
+        only_listing = F.forall(keys, lambda k: k.isin(LISTING_KEYS))
+        return (F.size(keys) > 0) & ((F.array_contains(keys, "term") & wildcard) | only_listing | F.array_contains(keys, "showfavorites") | F.array_contains(keys, "change_c"))
+
+    return let(query_pairs(url_query(url)), judge) & ~has_role
+
+
+def hint_score(url: Column, text: Column, hints: list[tuple[str, float]]) -> Column:
+    """struct(score, reason): weights of the distinct hints found, and the first five of them."""
+    first: dict[str, tuple[str, float]] = {}
+    for term, weight in hints:
+        key = term.strip().lower()
+        if key:
+            first.setdefault(key, (term, weight))
+    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for k, (t, w) in first.items()])
+    hay = F.lower(F.concat(url, F.lit(" "), F.coalesce(text, F.lit(""))))
+    found = let(hay, lambda h: F.filter(table, lambda t: h.contains(t["key"])))
+    return let(
+        found,
+        lambda a: F.struct(F.aggregate(a, F.lit(0.0), lambda s, t: s + t["weight"]).alias("score"), F.array_join(F.slice(F.transform(a, lambda t: t["term"]), 1, 5), ", ").alias("reason")),
+    )

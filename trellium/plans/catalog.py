@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trellium.plans import keyed, memory, orphans
+from trellium.plans import keyed, memory, orphans, texts, urls
 
-_MODULES = (memory, keyed, orphans)
+_MODULES = (memory, keyed, urls, texts, orphans)
 
 
 def queries():
