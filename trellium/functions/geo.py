@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """The same distance between two known points, computed once on the driver."""
+    p1, p2, dp, dl = math.radians(lat1), math.radians(lat2), math.radians(lat2 - lat1), math.radians(lon2 - lon1)
+    a = math.sin(dp / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(dl / 2) ** 2
+    return 2 * EARTH_KM * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
 def load_places(gazetteer: DataFrame, place: str = "place", lat: str = "lat", lon: str = "lon") -> list[tuple[str, float, float]]:
     rows = gazetteer.select(place, lat, lon).limit(MAX_PLACES + 1).collect()
     if len(rows) > MAX_PLACES:
@@ -31,6 +40,6 @@ def place_distances(text: Column, places: list[tuple[str, float, float]], lat: f
     """
     hay = F.concat(F.lit(" "), F.regexp_replace(F.concat(folded(text), F.lit(" | "), transliterated(text)), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
     words = lambda p, u: " " + " ".join("".join(c if c.isalnum() or c == "_" else " " for c in fold_term(p, u)).split()) + " "
-    table = F.array(*[F.struct(haversine_km(lat, lon, b, c).alias("distance_km"), F.lit(a).alias("place"), F.lit(words(a, False)).alias("w"), F.lit(words(a, True)).alias("v")) for a, b, c in places])
+    table = F.array(*[F.struct(F.lit(_km(lat, lon, b, c)).alias("distance_km"), F.lit(a).alias("place"), F.lit(words(a, False)).alias("w"), F.lit(words(a, True)).alias("v")) for a, b, c in places])
     hits = F.transform(F.array(hay), lambda h: F.filter(table, lambda t: h.contains(t["w"]) | h.contains(t["v"])))[0]
     return F.array_sort(F.transform(hits, lambda t: F.struct(t["distance_km"], t["place"])))

@@ -47,3 +47,12 @@ def capped(rows: DataFrame, key: str, room: Column, order: list[Column], most: i
 
 def ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column computed once per row.
+
+    A plain projection may be merged with the filters and projections above it,
+    which then compute the value again each time; a generator is not merged.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

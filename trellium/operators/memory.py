@@ -34,9 +34,11 @@ class MemoryRules:
     streak_from: int = 4
 
 
-def with_streak(events: DataFrame, key: str, order: list[str], reset: Column, chunk: Column) -> DataFrame:
+def with_streak(events: DataFrame, key: str, order: list[str], reset: Column, chunk: Column, start: DataFrame | None = None) -> DataFrame:
     """``events`` with ``streak``: rows since the key's last reset, 0 on a reset.
 
+    ``start`` (key, ``start_streak``) is what each key had before; 0 without it.
+
     Chunks must follow the order. Within one the streak is a window; across
     them a window over one row per chunk carries it on.
     """
@@ -47,10 +49,12 @@ def with_streak(events: DataFrame, key: str, order: list[str], reset: Column, ch
     e = e.withColumn("_since", since)
     per_chunk = e.groupBy(key, "_chunk").agg(F.count("*").alias("_n"), F.sum("_reset").alias("_resets"), F.max_by("_since", F.struct(*order)).alias("_trailing"))
     over = Window.partitionBy(key).orderBy("_chunk")
+    per_chunk = per_chunk.join(start, key, "left") if start is not None else per_chunk.withColumn("start_streak", F.lit(None))
+    before = F.coalesce(F.col("start_streak").cast("bigint"), F.lit(0))
     per_chunk = per_chunk.withColumn("_group", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     at_end = F.sum(F.when(F.col("_resets") > 0, F.col("_trailing")).otherwise(F.col("_n"))).over(Window.partitionBy(key, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0))
-    per_chunk = per_chunk.withColumn("_end", at_end)
-    carry = per_chunk.select(key, "_chunk", F.coalesce(F.lag("_end").over(over), F.lit(0)).alias("_carry"))
+    per_chunk = per_chunk.withColumn("_end", at_end + F.when(F.col("_group") == 0, before).otherwise(0))
+    carry = per_chunk.select(key, "_chunk", F.coalesce(F.lag("_end").over(over), before).alias("_carry"))
     joined = e.join(carry, [key, "_chunk"])
     streak = (F.col("_since") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).cast("bigint")
     return joined.withColumn("streak", streak).drop("_reset", "_island", "_since", "_carry")
@@ -75,16 +79,19 @@ def _composed(steps: Column) -> Column:
     return F.aggregate(F.slice(steps, 2, F.size(steps)), fn(F.element_at(steps, 1)), lambda acc, s: _compose(acc, fn(s)))
 
 
-def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), chunk: str = "day") -> DataFrame:
+def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), chunk: str = "day", start: DataFrame | None = None) -> DataFrame:
     """One row per source from ``source_key, ts, id, status, jobs, high_fit, quality``.
 
+    ``start`` is an earlier result to go on from; sources that have no new
+    events keep their row.
+
     Rewards and penalties are added step by step in the order of (ts, id), the
     score is clamped after every step. Rows without a source key are left out,
     NULL counts are 0. ``chunk`` is the unit of time at which folds are cut.
     """
     e = events.filter("source_key is not null").select("source_key", "ts", "id", "status", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("jobs", "high_fit", "quality")])
     ok, blocked = F.col("status") == "ok", F.col("status") == "blocked_by_robots"
-    e = with_streak(e, "source_key", ["ts", "id"], ok & (F.col("jobs") > 0), F.date_trunc(chunk, "ts"))
+    e = with_streak(e, "source_key", ["ts", "id"], ok & (F.col("jobs") > 0), F.date_trunc(chunk, "ts"), start.select("source_key", F.col("no_job_streak").alias("start_streak")) if start is not None else None)
     quality = _clamped(F.col("quality"), F.lit(0), F.lit(100))
     idle = F.when(F.col("jobs") > 0, 0).otherwise(rules.no_job + F.when(F.col("streak") >= rules.streak_from, rules.no_job).otherwise(0))
     reward = rules.per_job * F.col("jobs") + rules.per_high_fit * F.col("high_fit") + rules.quality_weight * quality + idle + F.when(F.col("quality") <= rules.bad_quality_at, rules.bad_quality).otherwise(0)
@@ -104,8 +111,21 @@ def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), ch
     sums = [F.sum(c).alias(c) for c in ("visits", "jobs_found", "high_fit_jobs", "errors", "blocked")]
     whole = per_chunk.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("_chunk", "f.d", "f.lo", "f.hi"))).alias("steps"), *sums, F.max_by("last", "_chunk").alias("last"))
     f = _composed(F.col("steps"))
-    score = _clamped(F.lit(rules.initial) + f["d"], f["lo"], f["hi"]) / 100.0
-    return whole.select("source_key", score.alias("score"), "visits", "jobs_found", "high_fit_jobs", "errors", "blocked", F.col("last.streak").alias("no_job_streak"), F.col("last.quality").alias("last_quality"))
+    first = F.lit(rules.initial).cast("bigint")
+    if start is not None:
+        whole = whole.join(start.select("source_key", F.round(F.col("score") * 100).cast("bigint").alias("_from")), "source_key", "left")
+        first = F.coalesce("_from", first)
+    score = _clamped(first + f["d"], f["lo"], f["hi"]) / 100.0
+    done = whole.select("source_key", score.alias("score"), "visits", "jobs_found", "high_fit_jobs", "errors", "blocked", F.col("last.streak").alias("no_job_streak"), F.col("last.quality").alias("last_quality"))
+    if start is None:
+        return done
+    counters = ["visits", "jobs_found", "high_fit_jobs", "errors", "blocked"]
+    old = start.select("source_key", F.struct("score", *counters, "no_job_streak", "last_quality").alias("old"))
+    new = done.select("source_key", F.struct("score", *counters, "no_job_streak", "last_quality").alias("new"))
+    both = old.join(new, "source_key", "full")
+    latest = lambda c: F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c)
+    sums = [(F.coalesce(F.col(f"old.{c}"), F.lit(0)) + F.coalesce(F.col(f"new.{c}"), F.lit(0))).alias(c) for c in counters]
+    return both.select("source_key", latest("score"), *sums, latest("no_job_streak"), latest("last_quality"))
 
 
 def decayed(score: Column, initial: float = 50.0, decay: float = 0.98) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from trellium.functions import text as T
 from trellium.functions.decode import json_object, page_decision
 from trellium.functions.geo import haversine_km, load_places, place_distances
+from trellium.operators.keyed import computed
 from trellium.plans.tables import table
 
 TERMS = ["Erfahrung", "Teilzeit", "supplier", "Verträge", "Maschinen", "team", "expérience", "Wochen", "contract", "zkušenost"]
@@ -60,7 +61,7 @@ def nearest_city(spark, d):
     """Places named in each distinct location: the nearest to the centre, and how many lie inside the radius."""
     places = load_places(table(spark, d, "gazetteer"))
     rows = table(spark, d, "jobs").select("location").filter("location is not null").distinct()
-    hits = rows.select("location", place_distances(F.col("location"), places, *CENTRE).alias("h")).filter(F.size("h") > 0)
+    hits = computed(rows, "h", place_distances(F.col("location"), places, *CENTRE)).filter(F.size("h") > 0)
     return hits.select("location", F.col("h")[0]["place"].alias("place"), F.round(F.col("h")[0]["distance_km"], 6).alias("km"), F.size("h").cast("bigint").alias("n_places"), F.size(F.filter("h", lambda t: t["distance_km"] <= RADIUS_KM)).cast("bigint").alias("n_inside"))
 
 

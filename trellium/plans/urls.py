@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from trellium.functions import urls as U
 from trellium.functions.html import anchors
+from trellium.operators.keyed import computed
 from trellium.plans.sqlgen import clean_url_sql, part_sql, path_sql
 from trellium.plans.tables import table
 
@@ -99,8 +100,8 @@ def link_extract(spark, d):
 
 def link_rank_topk(spark, d):
     """Links of each page: cleaned, allowed, hinted, first of equal ones, best 2."""
-    links = _links(spark, d).withColumn("link", U.clean_url("href")).filter("link is not null").filter(~U.denied(F.col("link"), F.col("text")))
-    links = links.withColumn("h", U.hint_score(F.col("link"), F.col("text"), HINTS)).filter("h.score > 0")
+    links = computed(_links(spark, d), "link", U.clean_url("href")).filter("link is not null").filter(~U.denied(F.col("link"), F.col("text")))
+    links = computed(links, "h", U.hint_score(F.col("link"), F.col("text"), HINTS)).filter("h.score > 0")
     links = links.withColumn("score", F.col("h.score") + F.when(U.url_domain("link") == U.url_domain("page_url"), 0.25).otherwise(0.0))
     first = F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos"))
     links = links.withColumn("n", first).filter("n = 1")
