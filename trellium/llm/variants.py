@@ -120,8 +120,9 @@ def follow_parents(parents: DataFrame, name: str) -> DataFrame:
     return current
 
 
-def _node(core: Column, trade: Column) -> Column:
-    return F.concat_ws("|", core, trade)
+def _node(core: Column, trade: Column, legal: Column) -> Column:
+    """Names of one core and trade are one node; those without a trade only if their legal form agrees too."""
+    return F.concat_ws("|", core, trade, F.when(trade == "", legal))
 
 
 def link_employers(names: DataFrame, col: str) -> DataFrame:
@@ -144,8 +145,8 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
 
     parsed = spelled.withColumn("r", read("name")).select("name", "n", "r.*").filter("core <> ''")
     parsed = cut(parsed, "employer-names")
-    nodes = parsed.groupBy("core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals"))
-    nodes = cut(nodes.withColumn("x", _node(F.col("core"), F.col("trade"))), "employer-nodes")
+    parsed = parsed.withColumn("x", _node(F.col("core"), F.col("trade"), F.col("legal")))
+    nodes = cut(parsed.groupBy("x", "core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals")), "employer-nodes")
     near = cut(near_keys(parsed, "core", "plain"), "employer-near")
 
     other = nodes.select(*[F.col(c).alias(f"y_{c}") for c in nodes.columns])
@@ -154,8 +155,9 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
     typo = nodes.join(both_ways, "core").join(other, "y_core").filter((F.col("trade") == F.col("y_trade")) & heavier)
     stems = other.select("*", F.explode(F.array(*[F.expr(f"substring(y_core, 1, length(y_core) - {c})") for c in CUT_LETTERS])).alias("core")).filter(F.length("core") >= MIN_STEM)
     short = nodes.join(stems, "core").filter("trade = y_trade")
-    bare = nodes.filter("trade = ''").select("*", F.lit("").alias("via"))
+    bare = nodes.filter("trade = ''")
     same_core = bare.join(other, bare["core"] == other["y_core"]).filter("y_trade <> ''")
+    same_bare = bare.join(other, bare["core"] == other["y_core"]).filter("y_trade = ''").filter(heavier)
     near_core = bare.join(both_ways, "core").join(other, "y_core").filter("y_trade <> ''")
     stem_core = bare.join(stems, "core").filter("y_trade <> ''")
 
@@ -163,11 +165,14 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
         legal_ok = F.arrays_overlap("legals", "y_legals")
         return df.select("x", "trade", F.lit(kind).alias("kind"), "y_x", "y_trade", "y_n", "y_core", F.coalesce(legal_ok, F.lit(False)).alias("legal_ok"))
 
-    all_edges = edges(typo, 0).unionByName(edges(short, 1)).unionByName(edges(same_core, 2)).unionByName(edges(near_core, 3)).unionByName(edges(stem_core, 4))
+    all_edges = edges(typo, 0)
+    for kind, df in enumerate((short, same_core, near_core, stem_core, same_bare), 1):
+        all_edges = all_edges.unionByName(edges(df, kind))
     all_edges = cut(all_edges, "employer-edges")
 
-    # With a trade: a typo first, then a cut name. Without one: all trades of the
-    # core count, nearer kinds first, and the choice must be one.
+    # With a trade: a typo first, then a cut name. Without one: the nearest kind
+    # of name with a trade decides, if it leaves one choice; names without a
+    # trade only where no other is near.
     by_kind = all_edges.groupBy("x", "kind").agg(
         F.max_by("y_x", F.struct(F.col("legal_ok"), F.col("y_n"), F.col("y_x"))).alias("any_best"),
         F.count_distinct("y_trade").alias("n_trades"),
@@ -175,13 +180,12 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
         F.count_distinct(F.when(F.col("legal_ok"), F.col("y_trade"))).alias("n_legal_trades"),
         F.first("trade").alias("trade"),
     )
-    chosen = F.when((F.col("trade") != "") | (F.col("kind") < 2) | (F.col("n_trades") == 1), F.col("any_best")).when(F.col("n_legal_trades") == 1, F.col("legal_best"))
-    # a bare name prefers a traded node to a bare neighbour
-    order = F.when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
-    picks = by_kind.withColumn("pick", chosen).filter("pick is not null").groupBy("x").agg(F.min_by("pick", order).alias("parent"))
+    chosen = F.when(F.col("n_trades") == 1, F.col("any_best")).when(F.col("n_legal_trades") == 1, F.col("legal_best"))
+    order = F.when((F.col("trade") == "") & (F.col("kind") == 5), 9).when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
+    picks = by_kind.groupBy("x").agg(F.min_by(F.struct(chosen.alias("parent")), order).alias("pick")).select("x", "pick.parent")
     parents = nodes.select("x").join(picks, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"))
     roots = follow_parents(parents, "employer-roots")
-    return parsed.withColumn("x", _node(F.col("core"), F.col("trade"))).join(roots, "x").select("name", "core", "trade", F.col("root").alias("entity"))
+    return parsed.join(roots, "x").select("name", "core", "trade", F.col("root").alias("entity"))
 
 
 def pairs_within(members: DataFrame, key: str, value: str, a: str, b: str) -> DataFrame:
