@@ -33,6 +33,7 @@ SMALL_WORDS = {
 ASSUMED = ["cp1252", "latin-1", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "iso8859-15"]
 ACTUAL = ["utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852"]
 MAX_STATES, MAX_DEPTH = 48, 3
+FOREIGN = 2.5
 #: Cost that a repair must save in one word, for a change of letters and for bytes that join to UTF-8 characters; and in a whole text.
 WORD_GAIN, JOINED_GAIN, DOCUMENT_GAIN = 3.0, 1.0, 6.0
 
@@ -40,7 +41,8 @@ _SETS = {k: set(v) for k, v in ALPHABETS.items()}
 _ANY_LETTER = set("".join(ALPHABETS.values()))
 _SMALL = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
 _LONE = {"fr": "àÀôÔ", "es": "áóéÓÁ", "pt": "àéóáÀÉÓÁ", "pl": "óÓ", "cs": "áíóú"}
-_INNER = set("’‘'‑–—·-­​‌‍/.")
+#: Signs that may stand inside a word, with their cost there.
+_INNER = {"’": 0.0, "'": 0.0, "‑": 0.0, "‐": 0.0, "\xad": 0.0, "\u200b": 0.0, "\u200c": 0.0, "\u200d": 0.0, "\xa0": 1.0, "\u202f": 1.0, "–": 1.5, "—": 1.5, "·": 2.5, "‘": 2.5}
 _PUNCTUATION = set("–—‑‒‐―’‘‚“”„‟«»‹›•·…‧€£¥¢§¶°±µ²³¹¼½¾×÷©®™¿¡ºª†‡‰′″−→←↑↓✓★☆■□▪●○◆►      ​‌‍­﻿  ")
 _SPACING_MARKS = set("¸´¨ˆ˜˙˘ˇ˝˛¯ˉ")
 _OPEN_CLOSE = set("’‘‚“”„«»‹›…")
@@ -72,7 +74,7 @@ def char_cost(c: str, before: str, after: str, languages: frozenset[str]) -> flo
         if c in "¿¡":
             return 4.5 if left or not after.isalpha() else 0.0
         if left and right:
-            return 0.0 if c in _INNER else (1.0 if c in "  " else 5.0)
+            return _INNER.get(c, 5.0)
         if c in "²³":
             return 0.0 if before in "mM" or not (left or right) and before.isdigit() else 4.0
         if c in "°":
@@ -87,9 +89,9 @@ def char_cost(c: str, before: str, after: str, languages: frozenset[str]) -> flo
     if c in _SPACING_MARKS:
         return 5.0
     if unicodedata.combining(c):
-        return 0.0 if before.isalpha() or (before and unicodedata.combining(before)) else 4.0
+        return 3.0 if before.isalpha() or (before and unicodedata.combining(before)) else 4.0  # one that joins no letter
     if c in _ANY_LETTER:
-        cost = 0.0 if any(c in _SETS[k] for k in languages) else 2.5
+        cost = 0.0
     elif c.isalpha() and unicodedata.name(c, "").startswith("LATIN"):
         cost = 4.0
     else:
@@ -103,13 +105,22 @@ def char_cost(c: str, before: str, after: str, languages: frozenset[str]) -> flo
     return cost
 
 
+def foreign_cost(text: str, languages: frozenset[str]) -> float:
+    """Cost of letters that the document's languages lack: for each, or once where one other language has them all."""
+    odd = {c for c in text if c in _ANY_LETTER}
+    foreign = sum(1 for c in text if c in _ANY_LETTER and not any(c in _SETS[k] for k in languages))
+    if not foreign:
+        return 0.0
+    return FOREIGN if any(odd <= s for s in _SETS.values()) else FOREIGN * foreign
+
+
 @lru_cache(maxsize=200_000)
 def text_cost(text: str, languages: frozenset[str]) -> float:
     total = 0.0
     for i, c in enumerate(text):
         if c > "\x7f":
             total += char_cost(c, text[i - 1 : i], text[i + 1 : i + 2], languages)
-    return total
+    return total + foreign_cost(text, languages)
 
 
 def languages_of(text: str, odd_words: set[str]) -> frozenset[str]:
@@ -173,11 +184,11 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
     if start == 0.0 or "�" in word:
         return word, 0.0, ""
     best, best_cost, best_ops = word, start, ""
-    queue: list[tuple[float, int, int, str, str]] = [(start, 0, 0, word, "")]
+    queue: list[tuple[float, int, int, str, str, float]] = [(start, 0, 0, word, "", 0.0)]
     visited = {word}
     popped = pushed = 0
     while queue and popped < MAX_STATES:
-        cost, depth, _, state, ops = heapq.heappop(queue)
+        cost, depth, _, state, ops, spent = heapq.heappop(queue)
         popped += 1
         if cost < best_cost - 0.25:
             best, best_cost, best_ops = state, cost, ops
@@ -191,8 +202,8 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
             visited.add(t)
             pushed += 1
             # many bytes that make one character prove more than a change of letters
-            change = 0.25 if op.endswith("utf-8") else 1.0
-            heapq.heappush(queue, (text_cost(t, languages) + change, depth + 1, pushed, t, f"{ops} {op}".strip()))
+            step = spent + (0.25 if op.endswith("utf-8") else 2.0)
+            heapq.heappush(queue, (text_cost(t, languages) + step, depth + 1, pushed, t, f"{ops} {op}".strip(), step))
     return (best, start - best_cost, best_ops) if best != word else (word, 0.0, "")
 
 
@@ -209,8 +220,19 @@ def _suspects(words: set[str], languages: frozenset[str]) -> dict[str, tuple[str
     return {w: restore_word(w, languages) for w in words if text_cost(w, languages) >= 1.0}
 
 
-def _convincing(found: tuple[str, float, str]) -> bool:
-    return found[1] >= (JOINED_GAIN if "utf-8" in found[2] else WORD_GAIN)
+def _convincing(word: str, found: tuple[str, float, str]) -> bool:
+    if "utf-8" in found[2]:
+        return found[1] >= JOINED_GAIN
+    return found[1] >= WORD_GAIN and any(c.isascii() and c.isalpha() for c in word)
+
+
+def _apply(word: str, ops: str) -> str | None:
+    for op in ops.split(" "):
+        t = html.unescape(word) if op == "unescape" else _convert(word, *op.split(">"))
+        if t is None:
+            return None
+        word = t
+    return word
 
 
 def _repair(text: str, words: set[str], languages: frozenset[str]) -> tuple[bool, str]:
@@ -218,9 +240,18 @@ def _repair(text: str, words: set[str], languages: frozenset[str]) -> tuple[bool
     by_op: dict[str, float] = {}
     for _, gain, op in suspects.values():
         by_op[op] = by_op.get(op, 0.0) + gain
-    change = {w: r[0] for w, r in suspects.items() if r[1] > 0 and (_convincing(r) or by_op[r[2]] >= DOCUMENT_GAIN)}
+    change = {w: r[0] for w, r in suspects.items() if r[1] > 0 and (_convincing(w, r) or by_op[r[2]] >= DOCUMENT_GAIN)}
     if not change:
         return any("�" in w for w in suspects), text
+    # what has happened to some words of a text has mostly happened to the others
+    common = sorted({suspects[w][2] for w in change}, key=lambda op: (-by_op[op], op))[:3]
+    for w in words:
+        if w not in change or suspects[w][2] not in common[:1]:
+            for ops in common:
+                t = _apply(w, ops)
+                if t is not None and text_cost(t, languages) < text_cost(change.get(w, w), languages):
+                    change[w] = t
+                    break
     return True, _WORD.sub(lambda m: m.group() if m.group().isascii() else change.get(unicodedata.normalize("NFC", m.group()), m.group()), text)
 
 
