@@ -35,7 +35,7 @@ SENIORITY = {"sr": "senior", "sen": "senior", "snr": "senior", "jr": "junior", "
 TITLE_NOISE = ["gesucht", "neu", "new", "stellenangebot", "stellenanzeige", "stelle", "job", "unbefristet", "befristet", "vollzeit", "teilzeit", "full", "part", "time", "fulltime", "permanent", "ab", "sofort", "in", "im", "bereich", "als", "wir", "suchen", "std", "stunden", "fur", "for", "den", "die", "der", "das", "a", "the", "und", "and", "of", "all", "genders", "gn", "hiring", "now", "urgent", "dringend"]
 PLACE_NOISE = [
     "raum", "region", "grosraum", "grossraum", "grosraum", "greater", "stadt", "city", "nahe", "near", "werk", "standort", "ort", "based", "in", "zentrum", "nord", "sud", "ost", "west", "altstadt", "innenstadt", "gewerbepark", "industriegebiet", "und", "umgebung", "area",
-    "homeoffice", "moglich", "hybrid", "remote", "tage", "mobil", "vollzeit", "teilzeit", "de", "at", "ch", "d", "a", "germany", "deutschland", "austria", "osterreich", "schweiz", "switzerland", "office", "home", "buro", "optional", "only", "eu", "bei", "bezirk", "landkreis", "kreis",
+    "homeoffice", "moglich", "hybrid", "remote", "tage", "mobil", "vollzeit", "teilzeit", "de", "at", "ch", "d", "a", "germany", "deutschland", "austria", "osterreich", "schweiz", "switzerland", "office", "home", "buro", "optional", "only", "eu", "fully", "completely", "full", "nur", "rein", "komplett", "vollstandig", "total", "bei", "bezirk", "landkreis", "kreis",
 ]
 ANYWHERE_WORDS = ["remote", "homeoffice", "mobiles arbeiten", "mobile arbeit", "home office", "anywhere", "ortsunabhangig", "bundesweit", "deutschlandweit", "europaweit", "weltweit", "worldwide", "telework", "teletravail", "teletrabajo", "teletrabalho", "praca zdalna", "prace na dalku", "zdalnie", "work from home", "wfh"]
 SEVERAL_WORDS = ["verschiedene orte", "verschiedene standorte", "mehrere standorte", "mehrere orte", "siehe anzeige", "standort nach absprache", "nach absprache", "nach vereinbarung", "various locations", "various", "multiple sites", "multiple locations", "several locations", "diverse", "diverse standorte", "unterschiedliche standorte", "flexibel", "flexible", "tbd", "to be determined", "siehe stellenanzeige", "see ad", "plusieurs sites", "varios lugares"]
