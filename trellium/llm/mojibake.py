@@ -35,7 +35,8 @@ ACTUAL = ["utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850
 MAX_STATES, MAX_DEPTH = 48, 3
 FOREIGN = 2.5
 #: Cost that a repair must save in one word, for a change of letters and for bytes that join to UTF-8 characters; and in a whole text.
-WORD_GAIN, JOINED_GAIN, DOCUMENT_GAIN = 3.0, 1.0, 6.0
+WORD_GAIN, JOINED_GAIN, DOCUMENT_GAIN, BROKEN_GAIN = 3.0, 1.0, 6.0, 2.0
+_BROKEN = re.compile(r"[a-zß-öø-ÿ](?:[À-ÖØ-Þ]|[\u02b0-\u02ff\u2200-\u22ff\u2500-\u25ff\u0370-\u03ff]|ﬂ)|[bcdfghjklmnpqrstvwxz]ß")
 
 _SETS = {k: set(v) for k, v in ALPHABETS.items()}
 _ANY_LETTER = set("".join(ALPHABETS.values()))
@@ -94,8 +95,8 @@ def char_cost(c: str, before: str, after: str, languages: frozenset[str]) -> flo
         cost = 0.0
     elif c.isalpha() and unicodedata.name(c, "").startswith("LATIN"):
         cost = 4.0
-    else:
-        return 6.0
+    else:  # signs and other scripts: odd beside letters, plausible alone
+        return 6.0 if before.isalpha() or after.isalpha() else 2.0
     if before.islower() and c.isupper():
         cost += 4.0
     if c == "ß":
@@ -203,6 +204,8 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
             pushed += 1
             # many bytes that make one character prove more than a change of letters
             step = spent + (0.25 if op.endswith("utf-8") else 2.0)
+            if not op.endswith("utf-8") and sum(map(str.isalpha, t)) < sum(map(str.isalpha, state)):
+                step += 0.25  # letters rather stay letters
             heapq.heappush(queue, (text_cost(t, languages) + step, depth + 1, pushed, t, f"{ops} {op}".strip(), step))
     return (best, start - best_cost, best_ops) if best != word else (word, 0.0, "")
 
@@ -223,7 +226,11 @@ def _suspects(words: set[str], languages: frozenset[str]) -> dict[str, tuple[str
 def _convincing(word: str, found: tuple[str, float, str]) -> bool:
     if "utf-8" in found[2]:
         return found[1] >= JOINED_GAIN
-    return found[1] >= WORD_GAIN and any(c.isascii() and c.isalpha() for c in word)
+    if not any(c.isascii() and c.isalpha() for c in word):
+        return False
+    # a sign, a capital or a sharp s where no spelling has one needs less proof than a foreign letter
+    broken = found[1] >= BROKEN_GAIN and _BROKEN.search(word) is not None and sum(map(str.isalpha, found[0])) >= sum(map(str.isalpha, word))
+    return broken or found[1] >= WORD_GAIN
 
 
 def _apply(word: str, ops: str) -> str | None:
