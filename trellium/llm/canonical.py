@@ -149,7 +149,7 @@ class Gazetteer:
 _CACHE: dict = {}
 
 
-def _gazetteer(entries: tuple) -> Gazetteer:
+def gazetteer_of(entries: tuple) -> Gazetteer:
     if entries not in _CACHE:
         _CACHE.clear()
         _CACHE[entries] = Gazetteer(list(entries))
@@ -168,7 +168,7 @@ def canonical_id(value: Column, entries: list[tuple[int, str, str | None]]) -> C
 
     @F.pandas_udf("bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        g = _gazetteer(fixed)
+        g = gazetteer_of(fixed)
         seen: dict[str, int] = {}
         for s in batches:
             codes, values = pd.factorize(s, use_na_sentinel=True)

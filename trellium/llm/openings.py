@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm.canonical import canonical_id
+from trellium.llm.canonical import gazetteer_of
+from trellium.llm.companies import read_company
 from trellium.llm.names import osa_within, skeleton, words
-from trellium.llm.variants import fold_rare, link_employers
+from trellium.llm.variants import READ, employer_node, employer_roots, fold_rare
 from trellium.session import cut
 
 BITS = 64
@@ -171,34 +173,32 @@ def linked_texts(records: DataFrame, budget: int = BUDGET) -> DataFrame:
     tasks = max(1, -(-total // CODES_PER_TASK)) * 2
     hot = sizes.filter(F.col("size") > HOT_BLOCK).select("block")  # at most total / HOT_BLOCK rows
     prefix = F.shiftrightunsigned("code", BITS - SPLIT_BITS).cast("int")
-    cold = records.join(F.broadcast(hot), "block", "left_anti").withColumn("task", F.concat(F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(tasks)))).withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
-    split = records.join(F.broadcast(hot), "block").withColumn("own", prefix).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1))))
+    several = records.join(sizes.filter("size > 1").select("block"), "block")  # a text alone in its block has no partner
+    cold = several.join(F.broadcast(hot), "block", "left_anti").withColumn("task", F.concat(F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(tasks)))).withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
+    split = several.join(F.broadcast(hot), "block").withColumn("own", prefix).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1))))
     split = split.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     split = split.withColumn("task", F.concat_ws("/", "block", "p", "q")).drop("own", "other")
     work = cold.select("task", "block", "text", "code", "p", "q").unionByName(split.select("task", "block", "text", "code", "p", "q"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, a_out, b_out = [], [], []
-        for (block, p, q), part in pdf.groupby(["block", "p", "q"], sort=False):
-            if len(part) < 2:
-                continue
-            codes = part["code"].to_numpy(dtype=np.int64).view(np.uint64)
-            order = np.argsort(codes, kind="stable")
-            codes, texts = codes[order], part["text"].to_numpy()[order]
-            if p == q:
-                i, j = trie_pairs(codes, None, budget)
-                other = texts
+        out: list[tuple[str, str, str]] = []
+        pdf = pdf.sort_values(["block", "p", "q"], kind="stable")
+        block, p, q = (pdf[c].to_numpy() for c in ("block", "p", "q"))
+        codes, texts = pdf["code"].to_numpy(dtype=np.int64).view(np.uint64), pdf["text"].to_numpy()
+        new = np.flatnonzero((block[1:] != block[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+        for a, b in zip([0, *new], [*new, len(block)]):
+            order = a + np.argsort(codes[a:b], kind="stable")
+            left = right = order
+            if p[a] == q[a]:
+                i, j = trie_pairs(codes[order], None, budget)
             else:
-                top = codes >> np.uint64(BITS - SPLIT_BITS)
-                mine, theirs = top == p, top == q
-                i, j = trie_pairs(codes[mine], codes[theirs], budget)
-                texts, other = texts[mine], texts[theirs]
-            for x, y in zip(texts[i], other[j]):
+                top = codes[order] >> np.uint64(BITS - SPLIT_BITS)
+                left, right = order[top == p[a]], order[top == q[a]]
+                i, j = trie_pairs(codes[left], codes[right], budget)
+            for x, y in zip(texts[left[i]], texts[right[j]]):
                 if same_words(x.split(" "), y.split(" ")):
-                    blocks.append(block)
-                    a_out.append(min(x, y))
-                    b_out.append(max(x, y))
-        return pd.DataFrame({"block": pd.Series(blocks, dtype=object), "text_a": pd.Series(a_out, dtype=object), "text_b": pd.Series(b_out, dtype=object)})
+                    out.append((block[a], min(x, y), max(x, y)))
+        return pd.DataFrame(out, columns=["block", "text_a", "text_b"], dtype=object)
 
     linked = work.groupBy("task").applyInPandas(join, "block string, text_a string, text_b string")
     return linked.unionByName(records.select("block", F.col("text").alias("text_a"), F.col("text").alias("text_b")))
@@ -210,27 +210,32 @@ def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
     The block is employer and place, each under its canonical spelling; the text
     is the title's telling words. Rows without one of the three are left out.
     """
-    rows = jobs.select("url", "title", "company", "location").filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''").distinct()
-    employers = link_employers(rows, "company").select(F.col("name").alias("company"), "entity")
-
-    @F.pandas_udf("town string, plain string")
-    def read_place(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([place_words(v) for v in s], columns=["town", "plain"])
-
-    @F.pandas_udf("text string, code bigint")
-    def read_title(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            toks = [title_words(v) for v in s]
-            codes = np.array([simhash(t) for t in toks], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"text": [" ".join(t) for t in toks], "code": codes})
-
-    places = rows.select("location").distinct().withColumn("place_id", canonical_id(F.col("location"), entries)).withColumn("r", read_place("location"))
-    places = cut(places.select("location", "place_id", "r.*"), "opening-places")
-    towns = fold_rare(places.filter("place_id = 0 and town <> ''"), "town", "plain")
-    known = places.join(towns, places["town"] == towns["x"], "left").select("location", F.when(F.col("place_id") > 0, F.concat(F.lit("#"), F.col("place_id"))).otherwise(F.coalesce("root", "town")).alias("place"))
-    titles = rows.select("title").distinct().withColumn("r", read_title("title")).select("title", "r.*").filter("text <> ''")
-    full = rows.join(employers, "company").join(known.filter("place <> ''"), "location").join(titles, "title")
-    return cut(full.select("url", F.concat_ws(" @ ", "entity", "place").alias("block"), "text", "code").distinct(), "opening-records")
+    rows = jobs.select("url", "title", "company", "location").filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''")
+    fixed = tuple(entries)
+
+    @F.pandas_udf(f"{READ}, place_id bigint, town string, town_plain string, text string, code bigint")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        gazetteer = gazetteer_of(fixed)
+        of_place = lru_cache(100_000)(lambda v: (gazetteer.resolve(v), *place_words(v)))
+        of_text = lru_cache(100_000)(lambda t: int(np.uint64(simhash(t.split(" "))).astype(np.int64)))
+        of_title = lru_cache(100_000)(lambda v: " ".join(title_words(v)))
+        of_company = lru_cache(100_000)(read_company)
+        for titles, companies, locations in batches:
+            out = []
+            for t, c, p in zip(titles, companies, locations):
+                text = of_title(t)
+                out.append((*of_company(c), *of_place(p), text, of_text(text)))
+            yield pd.DataFrame(out, columns=["core", "plain", "trade", "legal", "place_id", "town", "town_plain", "text", "code"])
+
+    known = rows.withColumn("r", read("title", "company", "location")).select("url", "r.*")
+    known = cut(known.withColumn("x", employer_node()), "opening-rows").filter("text <> '' and core <> '' and (place_id > 0 or town <> '')")
+    employers = employer_roots(known.groupBy("core", "plain", "trade", "legal").agg(F.count("*").alias("n")))
+    unlisted = known.filter("place_id = 0").groupBy("town", "town_plain").agg(F.count("*").alias("n"))
+    towns = fold_rare(unlisted, "town", "town_plain", F.sum("n")).select(F.col("x").alias("town"), F.col("root").alias("known_town"))
+    place = F.when(F.col("place_id") > 0, F.concat(F.lit("#"), F.col("place_id"))).otherwise(F.coalesce("known_town", "town"))
+    short = known.select("url", "x", "place_id", F.when(F.col("place_id") == 0, F.col("town")).alias("town"), "text", "code").distinct()
+    full = short.join(employers, "x").join(towns, "town", "left")
+    return cut(full.select("url", F.concat_ws(" @ ", "root", place).alias("block"), "text", "code").distinct(), "opening-records")
 
 
 def same_openings(jobs: DataFrame, entries: list, budget: int = BUDGET) -> DataFrame:

@@ -95,9 +95,9 @@ def near_keys(names: DataFrame, key: str, plain: str) -> DataFrame:
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def fold_rare(names: DataFrame, key: str, plain: str) -> DataFrame:
-    """``x, root``: each key with the most frequent one that it is a misspelling of, itself if none."""
-    counts = names.groupBy(F.col(key).alias("x")).agg(F.count("*").alias("n"))
+def fold_rare(names: DataFrame, key: str, plain: str, weight: Column) -> DataFrame:
+    """``x, root``: each key with the most frequent one, by ``weight``, that it is a misspelling of, itself if none."""
+    counts = names.groupBy(F.col(key).alias("x")).agg(weight.alias("n"))
     near = near_keys(names, key, plain)
     ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = counts.select(F.col("x").alias("b"), F.col("n").alias("y_n"))
@@ -125,6 +125,9 @@ def _node(core: Column, trade: Column, legal: Column) -> Column:
     return F.concat_ws("|", core, trade, F.when(trade == "", legal))
 
 
+READ = "core string, plain string, trade string, legal string"
+
+
 def link_employers(names: DataFrame, col: str) -> DataFrame:
     """Distinct values of ``col`` with the employer each of them means.
 
@@ -138,14 +141,23 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
     """
     spelled = names.select(F.col(col).alias("name")).filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
 
-    @F.pandas_udf("core string, plain string, trade string, legal string")
+    @F.pandas_udf(READ)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame([read_company(v) for v in s], columns=["core", "plain", "trade", "legal"])
 
     parsed = spelled.withColumn("r", read("name")).select("name", "n", "r.*").filter("core <> ''")
-    parsed = cut(parsed, "employer-names")
-    parsed = parsed.withColumn("x", _node(F.col("core"), F.col("trade"), F.col("legal")))
+    parsed = cut(parsed.withColumn("x", employer_node()), "employer-names")
+    return parsed.join(employer_roots(parsed), "x").select("name", "core", "trade", F.col("root").alias("entity"))
+
+
+def employer_node() -> Column:
+    return _node(F.col("core"), F.col("trade"), F.col("legal"))
+
+
+def employer_roots(parsed: DataFrame) -> DataFrame:
+    """``x, root`` for every node ``x`` of read names (``core, plain, trade, legal``, ``n`` rows each)."""
+    parsed = parsed.groupBy("core", "plain", "trade", "legal").agg(F.sum("n").alias("n")).withColumn("x", employer_node())
     nodes = cut(parsed.groupBy("x", "core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals")), "employer-nodes")
     near = cut(near_keys(parsed, "core", "plain"), "employer-near")
 
@@ -184,8 +196,7 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
     order = F.when((F.col("trade") == "") & (F.col("kind") == 5), 9).when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
     picks = by_kind.groupBy("x").agg(F.min_by(F.struct(chosen.alias("parent")), order).alias("pick")).select("x", "pick.parent")
     parents = nodes.select("x").join(picks, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"))
-    roots = follow_parents(parents, "employer-roots")
-    return parsed.join(roots, "x").select("name", "core", "trade", F.col("root").alias("entity"))
+    return follow_parents(parents, "employer-roots")
 
 
 def pairs_within(members: DataFrame, key: str, value: str, a: str, b: str) -> DataFrame:
