@@ -34,9 +34,10 @@ ASSUMED = ["cp1252", "latin-1", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp
 ACTUAL = ["utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852"]
 MAX_STATES, MAX_DEPTH = 48, 3
 FOREIGN = 2.5
+DETOUR = 3.0  # a state may cost so much more than the start and still lead on
 #: Cost that a repair must save in one word, for a change of letters and for bytes that join to UTF-8 characters; and in a whole text.
 WORD_GAIN, JOINED_GAIN, DOCUMENT_GAIN, BROKEN_GAIN = 3.0, 1.0, 6.0, 2.0
-_BROKEN = re.compile(r"[a-zß-öø-ÿ](?:[À-ÖØ-Þ]|[\u02b0-\u02ff\u2200-\u22ff\u2500-\u25ff\u0370-\u03ff]|ﬂ)|[bcdfghjklmnpqrstvwxz]ß")
+_BROKEN = re.compile(r"[a-zß-öø-ÿ](?:[À-ÖØ-Þ]|[\u02b0-\u02ff\u2200-\u22ff\u2500-\u25ff\u0370-\u03ff]|ﬂ)|[bcdfghjklmnpqrstvwxz]ß|[a-ln-zß-öø-ÿ][¹²³]")
 
 _SETS = {k: set(v) for k, v in ALPHABETS.items()}
 _ANY_LETTER = set("".join(ALPHABETS.values()))
@@ -195,7 +196,7 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
             best, best_cost, best_ops = state, cost, ops
             if cost <= 0.5:
                 break
-        if depth == MAX_DEPTH or (depth and cost > start):
+        if depth == MAX_DEPTH or (depth and cost > start + DETOUR):
             continue
         for op, t in neighbours(state):
             if t in visited:
