@@ -27,7 +27,7 @@ def source_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, d: str) -> DataFrame:
-    return source_memory_fold(source_events(spark, d))
+    return source_memory_fold(source_events(spark, d), chunk="month")
 
 
 def memory_decay(spark: SparkSession, d: str) -> DataFrame:
