@@ -28,8 +28,8 @@ from trellium.session import cut
 BITS = 64
 BUDGET = 24
 LEAF = 64  # node pairs of no more codes are compared one by one
-HOT_BLOCK = 20_000  # distinct texts in a block from which it is split into pairs of subtries
-SPLIT_BITS = 5
+HOT_BLOCK = 4_000  # distinct texts in a block from which it is split into pairs of subtries
+MOST_SPLIT_BITS = 10
 CODES_PER_TASK = 20_000
 
 # Words of a title or a place that tell openings and places not apart.
@@ -128,6 +128,20 @@ def same_words(a: list[str], b: list[str], per_word: int = 1, in_all: int = 2) -
     return spent <= in_all
 
 
+def same_letters(texts: np.ndarray, i: np.ndarray, j: np.ndarray, in_all: int = 2) -> np.ndarray:
+    """Which pairs can lie within the edit budget at all: an edit changes the letter counts by two at most."""
+    counts = np.zeros((len(texts), 28), dtype=np.int16)
+    for n, t in enumerate(texts):
+        raw = np.frombuffer(t.encode("utf-8", "replace"), dtype=np.uint8)
+        counts[n] = np.bincount(np.where((raw >= 97) & (raw <= 122), raw - 97, np.where(raw == 32, 26, 27)), minlength=28)[:28]
+    counts[:, 27] = 0  # other letters have several bytes, an edit may change more of them
+    out = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 1 << 18):
+        s = slice(at, at + (1 << 18))
+        out[s] = np.abs(counts[i[s]] - counts[j[s]]).sum(axis=1) <= 2 * in_all
+    return out
+
+
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two sorted uint64 arrays within ``budget`` bits; of one array with itself (i < j) without ``right``."""
     alone = right is None
@@ -171,19 +185,22 @@ def linked_texts(records: DataFrame, budget: int = BUDGET) -> DataFrame:
     sizes = records.groupBy("block").agg(F.count("*").alias("size"))
     total = records.count()
     tasks = max(1, -(-total // CODES_PER_TASK)) * 2
-    hot = sizes.filter(F.col("size") > HOT_BLOCK).select("block")  # at most total / HOT_BLOCK rows
-    prefix = F.shiftrightunsigned("code", BITS - SPLIT_BITS).cast("int")
+    # at most total / HOT_BLOCK blocks; subtries of about half of HOT_BLOCK
+    bits = F.least(F.ceil(F.log2(F.col("size") / (HOT_BLOCK / 2))).cast("int"), F.lit(MOST_SPLIT_BITS))
+    hot = sizes.filter(F.col("size") > HOT_BLOCK).select("block", bits.alias("bits"))
     several = records.join(sizes.filter("size > 1").select("block"), "block")  # a text alone in its block has no partner
-    cold = several.join(F.broadcast(hot), "block", "left_anti").withColumn("task", F.concat(F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(tasks)))).withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
-    split = several.join(F.broadcast(hot), "block").withColumn("own", prefix).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1))))
+    cold = several.join(F.broadcast(hot), "block", "left_anti").withColumn("task", F.concat(F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(tasks)))).withColumns({"bits": F.lit(0), "p": F.lit(0), "q": F.lit(0)})
+    split = several.join(F.broadcast(hot), "block").withColumn("own", F.expr("shiftrightunsigned(code, 64 - bits)").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits) - 1"))))
     split = split.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    split = split.withColumn("task", F.concat_ws("/", "block", "p", "q")).drop("own", "other")
-    work = cold.select("task", "block", "text", "code", "p", "q").unionByName(split.select("task", "block", "text", "code", "p", "q"))
+    split = split.withColumn("task", F.concat_ws("/", "block", "p", "q"))
+    columns = ["task", "block", "text", "code", "bits", "p", "q"]
+    work = cold.select(columns).unionByName(split.select(columns))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str, str]] = []
         pdf = pdf.sort_values(["block", "p", "q"], kind="stable")
-        block, p, q = (pdf[c].to_numpy() for c in ("block", "p", "q"))
+        block, bits, p, q = (pdf[c].to_numpy() for c in ("block", "bits", "p", "q"))
         codes, texts = pdf["code"].to_numpy(dtype=np.int64).view(np.uint64), pdf["text"].to_numpy()
         new = np.flatnonzero((block[1:] != block[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
         for a, b in zip([0, *new], [*new, len(block)]):
@@ -192,10 +209,14 @@ def linked_texts(records: DataFrame, budget: int = BUDGET) -> DataFrame:
             if p[a] == q[a]:
                 i, j = trie_pairs(codes[order], None, budget)
             else:
-                top = codes[order] >> np.uint64(BITS - SPLIT_BITS)
+                top = codes[order] >> np.uint64(BITS - int(bits[a]))
                 left, right = order[top == p[a]], order[top == q[a]]
                 i, j = trie_pairs(codes[left], codes[right], budget)
-            for x, y in zip(texts[left[i]], texts[right[j]]):
+            i, j = left[i], right[j]
+            if len(i) > 32:
+                near = same_letters(texts[a:b], i - a, j - a)
+                i, j = i[near], j[near]
+            for x, y in zip(texts[i], texts[j]):
                 if same_words(x.split(" "), y.split(" ")):
                     out.append((block[a], min(x, y), max(x, y)))
         return pd.DataFrame(out, columns=["block", "text_a", "text_b"], dtype=object)
