@@ -133,3 +133,29 @@ def mentions_company(x: Column, names: list[str]) -> Column:
 
 def _fold_name(name: str) -> str:
     return name.lower().translate(str.maketrans(_ACCENTED, _PLAIN)).replace("ß", "ss").replace("&", " and ")
+
+
+def title_from_link(text: Column, path: Column) -> Column:
+    """Link text, else the last path segment with its separators as spaces, in title case."""
+    shown = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    tail = F.element_at(F.split(F.regexp_replace(unquote(path), "^/+|/+$", ""), "/"), -1)
+    return F.substring(F.when(shown != "", shown).otherwise(F.initcap(F.trim(F.regexp_replace(tail, "[-_]+", " ")))), 1, 300)
+
+
+def split_terms(x: Column | str) -> Column:
+    """Parts of a list item: brackets off, split at spaced signs, leading conjunctions off, two letters at least."""
+    flat = F.regexp_replace(_c(x), r"\([^)]*\)", " ")
+    parts = F.transform(F.split(flat, r"\s+[/|]\s+|\s*[;,]\s+"), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^(?i)(and|or|oder|und)\s+", "")))
+    return F.filter(parts, lambda t: F.length(t) >= 2)
+
+
+def term_regex(terms: list[str]) -> str:
+    """One pattern for whole terms, white space in them matching spaces, underscores and hyphens."""
+    keys = [r"[\s_-]+".join(_quoted(w) for w in t.split()) for t in unique_terms(terms)]
+    return r"(?iU)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(keys) + r")(?:$|[^\p{L}\p{N}_])"
+
+
+def first_term(x: Column | str, terms: list[str]) -> Column:
+    """The first of the terms, in their order, that a text holds; '' if none."""
+    hits = substring_hits(x, terms)
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(""))

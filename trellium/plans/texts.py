@@ -9,12 +9,16 @@ from pyspark.sql.window import Window
 from trellium.functions import text as T
 from trellium.functions.decode import json_object, page_decision
 from trellium.functions.geo import haversine_km, load_places, place_distances
+from trellium.functions.urls import career_urls, root_url, url_path
 from trellium.operators.keyed import computed
+from trellium.plans.sqlgen import part_sql
 from trellium.plans.tables import table
 
 TERMS = ["Erfahrung", "Teilzeit", "supplier", "Verträge", "Maschinen", "team", "expérience", "Wochen", "contract", "zkušenost"]
 WORDS = ["jobs", "Engineer", "Einkäufer", "Schichtführer", "in", "controller"]
 COMPANIES = ["Dütapenen Möbelwerke", "Logistik Stähozofer", "Hafenlicht", "Brofimoral & Co"]
+PHRASES = ["Data Engineer", "Cost Controller", "Schichtführer", "HR Partner"]
+REGIONS = ["München", "Wacholder", "Birken", "remote", "Quarz", "Deutschland"]
 #: Centre and radius of the place reports.
 CENTRE, RADIUS_KM = (48.137154, 11.576124), 250.0
 
@@ -102,10 +106,44 @@ def prompt_budget(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0)).alias("char_limit"))
 
 
+def title_from_link(spark, d):
+    return table(spark, d, "pages").select("page_id", T.title_from_link(F.lit(None).cast("string"), url_path("url")).alias("made"), T.title_from_link(F.col("title"), url_path("url")).alias("shown"))
+
+
+def title_parts(spark, d):
+    return table(spark, d, "jobs").select("job_id", F.array_join(T.split_terms("title"), "|").alias("parts"))
+
+
+def term_regex_hits(spark, d):
+    return table(spark, d, "jobs").select("job_id", F.coalesce(F.col("title").rlike(T.term_regex(PHRASES)), F.lit(False)).alias("hit"))
+
+
+def first_location_term(spark, d):
+    """First region named in a posting's own texts, each cut as a prompt would cut it."""
+    text = F.concat_ws("\n", "location", "title", "company", F.substring("evidence", 1, 3000))
+    return table(spark, d, "jobs").select("job_id", T.first_term(text, REGIONS).alias("term"))
+
+
+def links_json(spark, d):
+    """Posting links as prompt text, fields cut and scores to two places."""
+    j = table(spark, d, "jobs").filter("fit_score is not null")
+    return j.select("job_id", F.to_json(F.struct(T.truncate(F.coalesce("title", F.lit("")), 20).alias("text"), "url", F.round(F.col("fit_score") / 7.0, 2).alias("score"))).alias("link"))
+
+
+def career_expansion(spark, d):
+    """Career addresses of the three first seen domains of every source."""
+    j = table(spark, d, "jobs").filter("source_key is not null").select("source_key", root_url("url").alias("root"), "first_seen_at", "job_id")
+    first = j.groupBy("source_key", "root").agg(F.min(F.struct("first_seen_at", "job_id")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("source_key").orderBy("at"))
+    few = first.withColumn("n", rank).filter("n <= 3")
+    return few.select("source_key", F.explode(career_urls("root")).alias("candidate")).groupBy("source_key").agg(F.count_distinct("candidate").alias("n_candidates"))
+
+
 def queries():
     return {
         "term_hits_substring": term_hits_substring, "term_hits_token": term_hits_token, "page_text_compact": page_text_compact, "text_clip": text_clip, "as_text_fields": as_text_fields, "company_words": company_words, "company_mentions": company_mentions,
         "ordered_unique_terms": unique_terms, "haversine": haversine, "nearest_city": nearest_city, "json_decode_noise": json_decode_noise, "page_decision_decode": page_decision_decode, "event_props": event_props, "section_fill_down": section_fill_down, "prompt_budget_limits": prompt_budget,
+        "title_from_link": title_from_link, "title_parts": title_parts, "term_regex_hits": term_regex_hits, "first_location_term": first_location_term, "links_json": links_json, "career_expansion": career_expansion,
     }
 
 
@@ -131,6 +169,9 @@ def sql() -> dict[str, str]:
     hay = lambda x: f"(' ' || regexp_replace({_folded_sql(x)} || ' | ' || replace(replace(replace({_folded_sql(x)}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ')"
     pw = f"(' ' || trim(regexp_replace({_folded_sql('place')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ')"
     pu = f"replace(replace(replace({pw}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')"
+    tail = f"list_last(string_split(trim(url_decode({part_sql('url', 3)}), '/'), '/'))"
+    made = f"left(array_to_string(list_transform(string_split(trim(regexp_replace({tail}, '[-_]+', ' ', 'g')), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' '), 300)"
+    shown = "trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))"
     return {
         "term_hits_substring": f"SELECT doc_id, array_to_string(list_transform(h, lambda t: t.t), ',') AS hits, len(h) AS n_hits FROM (SELECT doc_id, {sub} AS h FROM documents)",
         "term_hits_token": f"SELECT page_id, array_to_string(list_filter({tokens}, lambda t: t IS NOT NULL), ',') AS hits FROM pages",
@@ -150,5 +191,12 @@ def sql() -> dict[str, str]:
         "section_fill_down": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
             s AS (SELECT doc_id, last_value(CASE WHEN regexp_matches(trim(replace(line, chr(13), '')), '^[^.!?|•]{3,40}$') THEN trim(replace(line, chr(13), '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l)
             SELECT doc_id, section, count(*) AS n_lines FROM s GROUP BY doc_id, section""",
+        "title_from_link": f"SELECT page_id, {made} AS made, left(CASE WHEN {shown} <> '' THEN {shown} ELSE {made} END, 300) AS shown FROM pages",
+        "title_parts": "SELECT job_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(title, '\\([^)]*\\)', ' ', 'g'), '\\s+[/|]\\s+|\\s*[;,]\\s+'), lambda t: trim(regexp_replace(trim(t), '(?i)^(and|or|oder|und)\\s+', ''))), lambda t: length(t) >= 2), '|') AS parts FROM jobs",
+        "term_regex_hits": f"SELECT job_id, coalesce(regexp_matches(title, '{T.term_regex(PHRASES).replace('(?iU)', '(?i)')}'), false) AS hit FROM jobs",
+        "first_location_term": f"SELECT job_id, coalesce(list_filter([{', '.join(f"{{'t': '{t}', 'k': '{T.fold_term(t)}'}}" for t in REGIONS)}], lambda t: contains({_folded_sql("concat_ws(chr(10), location, title, company, left(evidence, 3000))")}, t.k))[1].t, '') AS term FROM jobs",
+        "links_json": """SELECT job_id, CAST(json_object('text', CASE WHEN length(coalesce(title, '')) > 20 THEN rtrim(left(title, 19)) || '…' ELSE coalesce(title, '') END, 'url', url, 'score', round(fit_score / 7.0, 2)) AS VARCHAR) AS link FROM jobs WHERE fit_score IS NOT NULL""",
+        "career_expansion": """WITH r AS (SELECT source_key, regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS root, min({'t': first_seen_at, 'j': job_id}) AS at_first FROM jobs WHERE source_key IS NOT NULL GROUP BY 1, 2)
+            SELECT source_key, count(DISTINCT root) * 18 AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY at_first) AS n FROM r) WHERE n <= 3 GROUP BY 1""",
         "prompt_budget_limits": f"SELECT doc_id, coalesce(list_filter([{', '.join(str(int(14_000 * 0.65**i)) for i in range(19))}], lambda x: ceil(least(length(text), x) / 4.0) <= 800)[1], 0) AS char_limit FROM documents",
     }
