@@ -229,17 +229,17 @@ def alternation(patterns: list[str]) -> str:
 
 def denied(url: Column, text: Column) -> Column:
     """Whether a link must not be followed, by its address or its text."""
-    urls, texts = "(?iU)" + alternation(DENIED_URLS), "(?iU)" + alternation(DENIED_TEXTS)
+    urls, texts = "(?i)" + alternation(DENIED_URLS), "(?i)" + alternation(DENIED_TEXTS)
     t = F.coalesce(text, F.lit(""))
     return url.rlike(urls) | t.rlike(urls) | t.rlike(texts)
 
 
 def detail_like(url: Column) -> Column:
-    return url.rlike("(?iU)" + alternation(DETAIL_URLS))
+    return url.rlike("(?i)" + alternation(DETAIL_URLS))
 
 
 def index_like(url: Column) -> Column:
-    return url.rlike("(?iU)" + alternation(INDEX_URLS))
+    return url.rlike("(?i)" + alternation(INDEX_URLS))
 
 
 def readable_slug(url: Column) -> Column:

@@ -103,6 +103,7 @@ def link_rank_topk(spark, d):
     links = computed(_links(spark, d), "link", U.clean_url("href")).filter("link is not null").filter(~U.denied(F.col("link"), F.col("text")))
     links = computed(links, "h", U.hint_score(F.col("link"), F.col("text"), HINTS)).filter("h.score > 0")
     links = links.withColumn("score", F.col("h.score") + F.when(U.url_domain("link") == U.url_domain("page_url"), 0.25).otherwise(0.0))
+    links = links.repartition("page_id")  # serves both windows
     first = F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos"))
     links = links.withColumn("n", first).filter("n = 1")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
