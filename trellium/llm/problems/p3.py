@@ -11,9 +11,8 @@ from trellium.plans.tables import table
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     entries = load_entries(table(spark, d, "gazetteer"))
-    names = [name for _, name, _ in entries]
-    typed = table(spark, d, "jobs").select("job_id", "location").filter(F.trim("location") != "")
-    typed = typed.filter(~F.col("location").isin(names)) if names else typed
+    names = F.broadcast(table(spark, d, "gazetteer").select(F.col("place").alias("location")).distinct())  # no more than load_entries allows
+    typed = table(spark, d, "jobs").select("job_id", "location").filter(F.trim("location") != "").join(names, "location", "left_anti")
     return typed.select("job_id", canonical_id(F.col("location"), entries).alias("place_id"))
 
 
