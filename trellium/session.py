@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "trellium", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +32,24 @@ def build_session(app: str = "trellium", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="trellium-code-")  # read by the driver alone, which serves it
+    path = os.path.join(folder, "trellium.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join("trellium", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one of our own
     only where that is unset and the session is local."""
