@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellium.operators.keyed import ranked
 from trellium.operators.memory import decayed, source_memory_fold, with_streak
+from trellium.plans.keyed import jobs_latest
 from trellium.plans.tables import table
 
+#: Entries of each section of the memory text, and what stands where there are none.
+IN_PROMPT = 8
+NO_MEMORY = "No source memory yet. Explore conservatively and prefer public career/job pages."
+NO_SOURCES = "no visited sources yet"
+
 
 def source_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of the driver as outcomes of page visits."""
@@ -57,9 +65,53 @@ def memory_summary(spark: SparkSession, d: str) -> DataFrame:
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "; ").alias("summary"))
 
 
+@F.pandas_udf(T.StringType())
+def _one_place(x: pd.Series) -> pd.Series:
+    """As Python rounds: by the exact value of the double, ties to even."""
+    return x.map(lambda v: f"{v:.1f}")
+
+
+def _lines(rows: DataFrame, keys: list[Column], **texts: Column) -> DataFrame:
+    """One row: for each text the list of its lines, of the first rows by ``keys``, all ascending."""
+    best = ranked(rows, [k.asc_nulls_last() for k in keys], IN_PROMPT)
+    order = [F.struct(k.isNull(), k).alias(f"k{n}") for n, k in enumerate(keys)]
+    found = best.select(F.struct(*order, *[t.alias(c) for c, t in texts.items()]).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("a"))
+    return found.select(*[F.col(f"a.{c}").alias(c) for c in texts])
+
+
+def memory_summary_full(spark: SparkSession, d: str) -> DataFrame:
+    """The stored memory as prompt text: good sources, weak sources and recent jobs; and the good ones as one line."""
+    m = table(spark, d, "source_memory").filter("visits > 0").withColumn("score", F.coalesce("score", F.lit(50.0))).fillna(0, ["jobs_found", "high_fit_jobs", "no_job_streak", "errors"])
+    score, notes = _one_place("score"), F.coalesce("notes", F.lit(""))
+    good = _lines(
+        m,
+        [-F.col("score"), -F.col("high_fit_jobs"), -F.col("jobs_found"), -F.col("visits"), F.col("source_key")],
+        good=F.concat(F.lit("- "), F.col("source_key"), F.lit(": score="), score, F.lit(", jobs="), F.col("jobs_found"), F.lit(", high_fit="), F.col("high_fit_jobs"), F.lit(", notes="), notes),
+        line=F.concat(F.col("source_key"), F.lit(":score="), score, F.lit(",visits="), F.col("visits"), F.lit(",jobs="), F.col("jobs_found"), F.lit(",high_fit="), F.col("high_fit_jobs")),
+    )
+    weak = _lines(
+        m,
+        [F.col("score"), -F.col("no_job_streak"), -F.col("errors"), F.col("source_key")],
+        weak=F.concat(F.lit("- "), F.col("source_key"), F.lit(": score="), score, F.lit(", no_job_streak="), F.col("no_job_streak"), F.lit(", errors="), F.col("errors"), F.lit(", notes="), notes),
+    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    recent = _lines(
+        jobs_latest(spark, d),
+        [-F.unix_micros(F.col("last_seen_at").cast("timestamp")), F.col("job_id")],
+        recent=F.concat(F.lit("- "), text("fit_score"), F.lit(" "), text("title"), F.lit(" at "), text("company"), F.lit(" ("), text("location"), F.lit("; score_source="), known("score_source"), F.lit("; language="), known("posting_language"), F.lit(") from "), text("source_key")),
+    )
+    part = lambda head, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{head}\n"), F.array_join(c, "\n")))
+    whole = F.concat_ws("\n", part("Good sources:", "good"), part("Weak sources:", "weak"), part("Recent matched jobs:", "recent"))
+    return good.crossJoin(weak).crossJoin(recent).select(
+        F.coalesce(F.nullif(whole, F.lit("")), F.lit(NO_MEMORY)).alias("summary"), F.when(F.size("line") > 0, F.array_join("line", "; ")).otherwise(NO_SOURCES).alias("line")
+    )
+
+
 def queries():
     return {
         "source_memory_fold": fold, "source_memory_decay": memory_decay, "top_sources": top_sources, "weak_sources": weak_sources, "no_job_streak_windows": page_streaks, "memory_summary_text": memory_summary,
+        "memory_summary_full": memory_summary_full,
     }
 
 
@@ -96,4 +148,16 @@ def sql() -> dict[str, str]:
         "memory_summary_text": """
           SELECT coalesce(string_agg(source_key || ': jobs=' || jobs_found || ', high=' || high_fit_jobs, '; ' ORDER BY score DESC, high_fit_jobs DESC, source_key), '') AS summary FROM
           (SELECT * FROM source_memory WHERE visits > 0 ORDER BY score DESC, high_fit_jobs DESC, source_key LIMIT 8)""",
+        "memory_summary_full": f"""
+          WITH m AS (SELECT source_key, coalesce(score, 50) AS score, visits, coalesce(jobs_found, 0) AS jobs, coalesce(high_fit_jobs, 0) AS high, coalesce(no_job_streak, 0) AS streak, coalesce(errors, 0) AS errors, coalesce(notes, '') AS notes FROM source_memory WHERE visits > 0),
+          g AS (SELECT *, row_number() OVER (ORDER BY score DESC, high DESC, jobs DESC, visits DESC, source_key) AS n FROM m),
+          w AS (SELECT *, row_number() OVER (ORDER BY score, streak DESC, errors DESC, source_key) AS n FROM m),
+          j AS (SELECT *, row_number() OVER (ORDER BY last_seen_at DESC NULLS LAST, job_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen_at DESC NULLS LAST, job_id DESC) AS r FROM jobs WHERE url IS NOT NULL) WHERE r = 1),
+          t AS (SELECT
+            (SELECT 'Good sources:' || chr(10) || string_agg(format('- {{}}: score={{:.1f}}, jobs={{}}, high_fit={{}}, notes={{}}', source_key, score, jobs, high, notes), chr(10) ORDER BY n) FROM g WHERE n <= {IN_PROMPT}) AS good,
+            (SELECT string_agg(format('{{}}:score={{:.1f}},visits={{}},jobs={{}},high_fit={{}}', source_key, score, visits, jobs, high), '; ' ORDER BY n) FROM g WHERE n <= {IN_PROMPT}) AS line,
+            (SELECT 'Weak sources:' || chr(10) || string_agg(format('- {{}}: score={{:.1f}}, no_job_streak={{}}, errors={{}}, notes={{}}', source_key, score, streak, errors, notes), chr(10) ORDER BY n) FROM w WHERE n <= {IN_PROMPT}) AS weak,
+            (SELECT 'Recent matched jobs:' || chr(10) || string_agg('- ' || coalesce(CAST(fit_score AS VARCHAR), '') || ' ' || coalesce(title, '') || ' at ' || coalesce(company, '') || ' (' || coalesce(location, '') || '; score_source=' || coalesce(nullif(score_source, ''), 'unknown')
+              || '; language=' || coalesce(nullif(posting_language, ''), 'unknown') || ') from ' || coalesce(source_key, ''), chr(10) ORDER BY n) FROM j WHERE n <= {IN_PROMPT}) AS recent)
+          SELECT coalesce(nullif(concat_ws(chr(10), good, weak, recent), ''), '{NO_MEMORY}') AS summary, coalesce(line, '{NO_SOURCES}') AS line FROM t""",
     }
