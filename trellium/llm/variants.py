@@ -23,6 +23,7 @@ MIN_LENGTH = 5  # shorter names are linked only when equal
 MIN_STEM = 5  # least letters of a name that was cut short
 CUT_LETTERS = (2, 3, 4)  # letters of the syllable that people leave off
 ROUNDS = 16
+TREES_SETTLE = 4  # rounds after which cycles are looked for
 
 
 def _segments(length: int, k: int) -> list[tuple[int, int]]:
@@ -108,16 +109,28 @@ def fold_rare(names: DataFrame, key: str, plain: str, weight: Column) -> DataFra
 
 
 def follow_parents(parents: DataFrame, name: str) -> DataFrame:
-    """``x, parent`` (every x once) to ``x, root`` by pointer doubling."""
-    current = cut(parents.select("x", F.col("parent").alias("root")), name)
-    for _ in range(ROUNDS):
-        step = current.alias("l").join(current.select(F.col("x").alias("via"), F.col("root").alias("next")), F.col("root") == F.col("via"), "left")
-        step = cut(step.select("x", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), name)
-        moving = step.filter("moved").limit(1).count()
-        current = step.select("x", "root")
-        if not moving:
-            break
-    return current
+    """``x, parent`` (every x once) to ``x, root`` by pointer doubling.
+
+    The root of a cycle, and of all that hangs on it, is its heaviest node by the
+    column ``n``, of equal ones the smallest; without ``n`` the smallest.
+    """
+    weight = -F.col("n") if "n" in parents.columns else F.lit(0)
+    current = cut(parents.select("x", "parent", F.col("parent").alias("root"), F.struct(weight.cast("bigint").alias("n"), "x").alias("best")), name)
+    for done in range(ROUNDS):
+        # best: of the nodes from x up to, and without, root
+        ahead = current.select(F.col("x").alias("via"), F.col("root").alias("next"), F.col("best").alias("further"))
+        step = current.join(ahead, F.col("root") == F.col("via"), "left")
+        moved = F.coalesce("next", "root") != F.col("root")
+        step = cut(step.select("x", "parent", F.coalesce("next", "root").alias("root"), F.least("best", "further").alias("best"), moved.alias("moved")), name)
+        current = step.drop("moved")
+        if not step.filter("moved").limit(1).count():
+            return current.select("x", "root")
+        if done >= TREES_SETTLE:
+            # what still moves goes round: where all share their parent's choice, it is the best of the whole cycle
+            choice = cut(current.join(current.select(F.col("x").alias("at"), F.col("best.x").alias("choice")), F.col("root") == F.col("at"), "left").select("x", "parent", F.coalesce("choice", "root").alias("root")), name)
+            if not choice.join(choice.select(F.col("x").alias("up"), F.col("root").alias("up_root")), F.col("parent") == F.col("up")).filter("root <> up_root").limit(1).count():
+                return choice.select("x", "root")
+    raise RuntimeError(f"{name}: parents do not settle in {ROUNDS} rounds")
 
 
 def _node(core: Column, trade: Column, legal: Column) -> Column:
@@ -195,7 +208,7 @@ def employer_roots(parsed: DataFrame) -> DataFrame:
     chosen = F.when(F.col("n_trades") == 1, F.col("any_best")).when(F.col("n_legal_trades") == 1, F.col("legal_best"))
     order = F.when((F.col("trade") == "") & (F.col("kind") == 5), 9).when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
     picks = by_kind.groupBy("x").agg(F.min_by(F.struct(chosen.alias("parent")), order).alias("pick")).select("x", "pick.parent")
-    parents = nodes.select("x").join(picks, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"))
+    parents = nodes.select("x", "n").join(picks, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"), "n")
     return follow_parents(parents, "employer-roots")
 
 
