@@ -100,14 +100,23 @@ def link_extract(spark, d):
 
 def link_rank_topk(spark, d):
     """Links of each page: cleaned, allowed, hinted, first of equal ones, best 2."""
-    links = computed(_links(spark, d), "link", U.clean_url("href")).filter("link is not null").filter(~U.denied(F.col("link"), F.col("text")))
+    return _best_links(_links(spark, d), 2)
+
+
+def link_rank_top80(spark, d):
+    """The same, best 80."""
+    return _best_links(_links(spark, d), 80)
+
+
+def _best_links(links: DataFrame, k: int) -> DataFrame:
+    links = computed(links, "link", U.clean_url("href")).filter("link is not null").filter(~U.denied(F.col("link"), F.col("text")))
     links = computed(links, "h", U.hint_score(F.col("link"), F.col("text"), HINTS)).filter("h.score > 0")
     links = links.withColumn("score", F.col("h.score") + F.when(U.url_domain("link") == U.url_domain("page_url"), 0.25).otherwise(0.0))
     links = links.repartition("page_id")  # serves both windows
     first = F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos"))
     links = links.withColumn("n", first).filter("n = 1")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
-    return links.withColumn("rank", rank).filter("rank <= 2").select("page_id", "rank", "link", "score")
+    return links.withColumn("rank", rank).filter(F.col("rank") <= k).select("page_id", "rank", "link", "score")
 
 
 def link_hint_score(spark, d):
@@ -119,7 +128,7 @@ def queries():
     return {
         "url_split": url_split, "url_clean": url_clean, "url_domain": url_domain, "url_path_normalise": url_path_normalise, "source_key_levels": source_keys, "url_root": url_root, "career_candidates": career_candidates, "same_domain_links": same_domain_links,
         "query_slug": query_slug, "search_url_render": search_url_render, "url_safety_deny": url_safety_deny, "detail_url": detail_url, "readable_slug": readable_slug, "listing_filter": listing_filter, "link_extract": link_extract,
-        "link_rank_topk": link_rank_topk, "link_hint_score": link_hint_score,
+        "link_rank_topk": link_rank_topk, "link_rank_top80": link_rank_top80, "link_hint_score": link_hint_score,
     }
 
 
@@ -166,5 +175,8 @@ def sql() -> dict[str, str]:
         "link_rank_topk": f"""WITH c AS (SELECT *, {clean_url_sql('href')} AS link FROM {links}), s AS (SELECT *, {score('link', 'text')} AS base FROM c WHERE link IS NOT NULL AND NOT regexp_matches(link, '(?i){denied_url}') AND NOT regexp_matches(text, '(?i){denied_url}') AND NOT regexp_matches(text, '(?i){denied_text}')),
             f AS (SELECT *, base + CASE WHEN {domain('link')} = {domain('page_url')} THEN 0.25 ELSE 0 END AS score, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS n FROM s WHERE base > 0)
             SELECT page_id, rank, link, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM f WHERE n = 1) WHERE rank <= 2""",
+        "link_rank_top80": f"""WITH c AS (SELECT *, {clean_url_sql('href')} AS link FROM {links}), s AS (SELECT *, {score('link', 'text')} AS base FROM c WHERE link IS NOT NULL AND NOT regexp_matches(link, '(?i){denied_url}') AND NOT regexp_matches(text, '(?i){denied_url}') AND NOT regexp_matches(text, '(?i){denied_text}')),
+            f AS (SELECT *, base + CASE WHEN {domain('link')} = {domain('page_url')} THEN 0.25 ELSE 0 END AS score, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS n FROM s WHERE base > 0)
+            SELECT page_id, rank, link, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM f WHERE n = 1) WHERE rank <= 80""",
         "link_hint_score": f"SELECT page_id, {score('url', 'title')} AS score, array_to_string(list_transform({found('url', 'title')}, lambda h: h.k)[1:5], ', ') AS reason FROM pages",
     }
