@@ -1,36 +1,47 @@
 """Near-duplicate records by a self-join of binary codes in a trie.
 
-A record's code is a block part that must agree and a 64-bit similarity hash of
-its text, whose bits may differ in up to ``budget`` places. Codes are the leaves
-of a binary trie; pairs of nodes are walked down together, the differing bits
-add up, and a pair of nodes is dropped as soon as they exceed the budget. In the
-block part the budget is nought, so there equal nodes only go on.
+A text's code has 64 bits, each saying whether it holds some letter a given
+number of times. An edit moves two letter counts by one at most, so texts within
+k edits differ in 2k bits at most, whatever the order of their words: the join
+of all codes within ``budget`` bits loses no pair of ``budget / 2`` edits. Which
+64 of the (letter, number) pairs make up the code is learned from all texts:
+those that split them most evenly come first.
+
+Codes are the leaves of a binary trie. Pairs of nodes are walked down together,
+level by level, the differing bits add up, and a pair of nodes is dropped as
+soon as they exceed the budget. A block of texts too many for one task is cut by
+the pigeonhole principle: of ``budget + s`` parts of the code a pair within the
+budget agrees in ``s`` at least.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellium.llm.canonical import gazetteer_of
 from trellium.llm.companies import read_company
 from trellium.llm.names import osa_within, skeleton, words
-from trellium.llm.variants import READ, employer_node, employer_roots, fold_rare
+from trellium.llm.variants import READ, components, employer_node, employer_roots, fold_rare
 from trellium.session import cut
 
 BITS = 64
-BUDGET = 24
-LEAF = 64  # node pairs of no more codes are compared one by one
-HOT_BLOCK = 4_000  # distinct texts in a block from which it is split into pairs of subtries
-MOST_SPLIT_BITS = 10
+EDITS = 2
+BUDGET = 2 * EDITS
+LEAF = 2  # nodes of no more codes are compared one by one
+LETTERS, MOST_OF_A_LETTER = 26, 12
+HOT_BLOCK = 20_000  # distinct texts from which a block is cut into parts
+MAX_HOT_BLOCKS = 10_000  # the threshold rises with the table, so that no more blocks can be beyond it
+MOST_AGREEING = 4
 CODES_PER_TASK = 20_000
+FRONT = 1 << 20  # node pairs, or pairs of codes, held at once
 
 # Words of a title or a place that tell openings and places not apart.
 SENIORITY = {"sr": "senior", "sen": "senior", "snr": "senior", "jr": "junior", "jun": "junior", "jnr": "junior"}
@@ -81,28 +92,6 @@ def place_words(location: str | None) -> tuple[str, str]:
     return "".join(rest), "".join(plain) or "".join(rest)
 
 
-_SIGNS: dict[str, np.ndarray] = {}
-
-
-def simhash(tokens: list[str]) -> int:
-    """64-bit similarity hash over the letter pairs and triples of the words, whatever their order."""
-    total = np.zeros(BITS, dtype=np.int32)
-    for w in tokens:
-        padded = f"^{w}$"
-        for n in (2, 3):
-            for i in range(len(padded) - n + 1):
-                g = padded[i : i + n]
-                sign = _SIGNS.get(g)
-                if sign is None:
-                    if len(_SIGNS) > 200_000:
-                        _SIGNS.clear()
-                    h = xxhash.xxh64_intdigest(g)
-                    sign = np.array([1 if h >> b & 1 else -1 for b in range(BITS)], dtype=np.int32)
-                    _SIGNS[g] = sign
-                total += sign
-    return int(sum(1 << b for b in range(BITS) if total[b] > 0))
-
-
 def same_words(a: list[str], b: list[str], per_word: int = 1, in_all: int = 2) -> bool:
     """Whether the words pair off within the edit budgets."""
     if len(a) != len(b):
@@ -128,105 +117,180 @@ def same_words(a: list[str], b: list[str], per_word: int = 1, in_all: int = 2) -
     return spent <= in_all
 
 
-def same_letters(texts: np.ndarray, i: np.ndarray, j: np.ndarray, in_all: int = 2) -> np.ndarray:
-    """Which pairs can lie within the edit budget at all: an edit changes the letter counts by two at most."""
-    counts = np.zeros((len(texts), 28), dtype=np.int16)
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each of 26 classes of letters occurs; a to z are classes of their own, other signs share them, spaces have none."""
+    out = np.zeros((len(texts), LETTERS), dtype=np.int32)
     for n, t in enumerate(texts):
-        raw = np.frombuffer(t.encode("utf-8", "replace"), dtype=np.uint8)
-        counts[n] = np.bincount(np.where((raw >= 97) & (raw <= 122), raw - 97, np.where(raw == 32, 26, 27)), minlength=28)[:28]
-    counts[:, 27] = 0  # other letters have several bytes, an edit may change more of them
-    out = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 1 << 18):
-        s = slice(at, at + (1 << 18))
-        out[s] = np.abs(counts[i[s]] - counts[j[s]]).sum(axis=1) <= 2 * in_all
+        raw = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out[n] = np.bincount((raw[raw != 32] + 7) % LETTERS, minlength=LETTERS)
     return out
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two sorted uint64 arrays within ``budget`` bits; of one array with itself (i < j) without ``right``."""
-    alone = right is None
-    r = left if alone else right
-    out_i, out_j = [], []
-    stack = [(0, len(left), 0, len(r), 0, 0)]
-    while stack:
-        a0, a1, b0, b1, depth, errors = stack.pop()
-        if a0 == a1 or b0 == b1 or errors > budget or (alone and a0 > b0):
-            continue
-        if depth == BITS or (a1 - a0) * (b1 - b0) <= LEAF * LEAF:
-            distance = np.bitwise_count(left[a0:a1, None] ^ r[None, b0:b1])
-            i, j = np.nonzero(distance <= budget)
-            i, j = i + a0, j + b0
-            if alone:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            out_i.append(i)
-            out_j.append(j)
-            continue
-        bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
-        am = a0 + int(np.count_nonzero((left[a0:a1] & bit) == 0))
-        bm = am if alone and (a0, a1) == (b0, b1) else b0 + int(np.count_nonzero((r[b0:b1] & bit) == 0))
-        stack.append((a0, am, b0, bm, depth + 1, errors))
-        stack.append((am, a1, bm, b1, depth + 1, errors))
-        stack.append((a0, am, bm, b1, depth + 1, errors + 1))
-        if not (alone and (a0, a1) == (b0, b1)):
-            stack.append((am, a1, b0, bm, depth + 1, errors + 1))
-    if not out_i:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
+def letter_bits(texts: DataFrame, col: str) -> list[tuple[int, int]]:
+    """The 64 (letter, number) pairs that split the texts most evenly, the most even first."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((LETTERS, MOST_OF_A_LETTER), dtype=np.int64)
+        seen = 0
+        for pdf in batches:
+            counts = letter_counts(pdf[col].tolist())
+            seen += len(counts)
+            for k in range(MOST_OF_A_LETTER):
+                total[:, k] += (counts > k).sum(axis=0)
+        yield pd.DataFrame([(c, k + 1, int(total[c, k]), seen) for c in range(LETTERS) for k in range(MOST_OF_A_LETTER)], columns=["letter", "least", "having", "seen"])
 
-def linked_texts(records: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Pairs of texts of one block that mean the same, from distinct ``block, text, code``.
+    got = texts.select(col).mapInPandas(count, "letter int, least int, having bigint, seen bigint")
+    rows = got.groupBy("letter", "least").agg(F.sum("having").alias("having"), F.sum("seen").alias("seen")).collect()  # 312 rows
+    ranked = sorted(rows, key=lambda r: (abs(2 * r.having - r.seen), r.letter, r.least))
+    return [(r.letter, r.least) for r in ranked[:BITS]]
+
+
+def letter_codes(texts: list[str], bits: list[tuple[int, int]]) -> np.ndarray:
+    counts = letter_counts(texts)
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for i, (letter, least) in enumerate(bits):
+        out |= (counts[:, letter] >= least).astype(np.uint64) << np.uint64(BITS - 1 - i)
+    return out
 
-    Returns ``block, text_a, text_b``; every text also comes with itself.
-    Blocks of many texts are split into pairs of subtries, which keeps the
-    result whole and bounds what one task holds.
+
+def letter_code(text: Column, bits: list[tuple[int, int]]) -> Column:
+    @F.pandas_udf("bigint")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(letter_codes(s.tolist(), bits).astype(np.int64))
+
+    return run(text)
+
+
+def _leaves(codes: np.ndarray, a0, a1, b0, b1, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the budget of codes a0..a1 and b0..b1 of each node pair, a slice of pairs at a time."""
+    upto = np.cumsum((a1 - a0) * (b1 - b0))
+    at = 0
+    while at < len(upto):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FRONT, side="right")))
+        wide = b1[at:to] - b0[at:to]
+        size = (a1[at:to] - a0[at:to]) * wide
+        nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(wide, size)
+        i, j = np.repeat(a0[at:to], size) + nth // wide, np.repeat(b0[at:to], size) + nth % wide
+        keep = (i < j) & (np.bitwise_count(codes[i] ^ codes[j]) <= budget)
+        yield i[keep], j[keep]
+        at = to
+
+
+def trie_pairs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, counted: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within ``budget`` bits inside each of the ranges start..end, whose uint64 codes are sorted.
+
+    A node is a range of codes that agree down to its level. All node pairs of a
+    level are split at once; at most ``FRONT`` of them are held per step, the
+    others wait. ``counted`` takes the node pairs met and pruned, and the pairs
+    of codes compared.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ones: dict[int, np.ndarray] = {}
+    met = pruned = compared = 0
+    a0, a1 = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64)
+    waiting = [(0, (a0, a1, a0, a1, np.zeros(len(a0), dtype=np.int16)))]
+    while waiting:
+        depth, front = waiting.pop()
+        if len(front[0]) > FRONT:
+            half = len(front[0]) // 2
+            waiting += [(depth, tuple(x[half:] for x in front)), (depth, tuple(x[:half] for x in front))]
+            continue
+        a0, a1, b0, b1, errors = front
+        met += len(a0)
+        leaf = (a1 - a0 <= LEAF) & (b1 - b0 <= LEAF) if depth < BITS else np.ones(len(a0), dtype=bool)
+        compared += int(((a1 - a0) * (b1 - b0))[leaf].sum())
+        found += _leaves(codes, a0[leaf], a1[leaf], b0[leaf], b1[leaf], budget)
+        a0, a1, b0, b1, errors = (x[~leaf] for x in (a0, a1, b0, b1, errors))
+        if not len(a0):
+            continue
+        if depth not in ones:
+            bit = (codes >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
+            ones[depth] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+        am, bm = a1 - (ones[depth][a1] - ones[depth][a0]), b1 - (ones[depth][b1] - ones[depth][b0])
+        two = a0 != b0  # a node paired with itself crosses once
+        a0, a1 = np.concatenate([a0, am, a0, am[two]]), np.concatenate([am, a1, am, a1[two]])
+        b0, b1 = np.concatenate([b0, bm, bm, b0[two]]), np.concatenate([bm, b1, b1, bm[two]])
+        errors = np.concatenate([errors, errors, errors + 1, errors[two] + 1])
+        there = (a0 < a1) & (b0 < b1)
+        near = there & (errors <= budget)
+        pruned += int(there.sum() - near.sum())
+        waiting.append((depth + 1, tuple(x[near] for x in (a0, a1, b0, b1, errors))))
+    if counted is not None:
+        counted.update(met=met, pruned=pruned, compared=compared)
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (none, none)
+
+
+def _parts(agreeing: int, budget: int) -> list[int]:
+    """Bit masks of the code's ``budget + agreeing`` parts; neighbouring bits go to different parts."""
+    n = budget + agreeing
+    return [sum(1 << (BITS - 1 - i) for i in range(p, BITS, n)) for p in range(n)]
+
+
+def near_codes(records: DataFrame, budget: int = BUDGET, accept: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """Pairs of texts of one block within ``budget`` bits that ``accept``, from distinct ``block, text, code``.
+
+    Returns ``block, text_a, text_b`` with text_a before text_b. A block with
+    more than ``HOT_BLOCK`` texts, or than a ten thousandth of all, is cut into
+    the groups that agree in 1 to 4 of the code's parts, more the larger it is;
+    a pair counts in the first group that it is in. The result is the same
+    however blocks are cut.
     """
     sizes = records.groupBy("block").agg(F.count("*").alias("size"))
     total = records.count()
+    least = max(HOT_BLOCK, -(-total // MAX_HOT_BLOCKS))
+    hot = F.broadcast(sizes.filter(F.col("size") > least).select("block", "size"))  # no more than MAX_HOT_BLOCKS by the threshold
+    several = sizes.filter((F.col("size") > 1) & (F.col("size") <= least)).select("block")  # a text alone in its block has no partner
+    cold = records.join(hot, "block", "left_anti").join(several, "block").withColumns({"agreeing": F.lit(0), "pick": F.lit(0), "part": F.lit(0).cast("bigint")})
+    masks = {s: [sum(c) for c in itertools.combinations(_parts(s, budget), s)] for s in range(1, MOST_AGREEING + 1)}
+    # every part that must agree cuts a block to about an eighth
+    agreeing = F.greatest(F.lit(1), F.least(F.lit(MOST_AGREEING), F.ceil(F.log2(F.col("size") / least) / 3).cast("int")))
+    split = records.join(hot, "block").withColumn("agreeing", agreeing)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = F.lit(None)
+    for s, ms in masks.items():
+        choices = F.when(F.col("agreeing") == s, F.array(*[F.lit(signed(m)).cast("bigint") for m in ms])).otherwise(choices)
+    split = split.select("block", "text", "code", "agreeing", F.posexplode(choices).alias("pick", "mask")).withColumn("part", F.col("code").bitwiseAND(F.col("mask")))
     tasks = max(1, -(-total // CODES_PER_TASK)) * 2
-    # at most total / HOT_BLOCK blocks; subtries of about half of HOT_BLOCK
-    bits = F.least(F.ceil(F.log2(F.col("size") / (HOT_BLOCK / 2))).cast("int"), F.lit(MOST_SPLIT_BITS))
-    hot = sizes.filter(F.col("size") > HOT_BLOCK).select("block", bits.alias("bits"))
-    several = records.join(sizes.filter("size > 1").select("block"), "block")  # a text alone in its block has no partner
-    cold = several.join(F.broadcast(hot), "block", "left_anti").withColumn("task", F.concat(F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(tasks)))).withColumns({"bits": F.lit(0), "p": F.lit(0), "q": F.lit(0)})
-    split = several.join(F.broadcast(hot), "block").withColumn("own", F.expr("shiftrightunsigned(code, 64 - bits)").cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits) - 1"))))
-    split = split.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    split = split.withColumn("task", F.concat_ws("/", "block", "p", "q"))
-    columns = ["task", "block", "text", "code", "bits", "p", "q"]
-    work = cold.select(columns).unionByName(split.select(columns))
+    columns = ["block", "text", "code", "agreeing", "pick", "part"]
+    work = cold.select(columns).unionByName(split.select(columns)).withColumn("task", F.pmod(F.xxhash64("block", "pick", "part"), F.lit(tasks)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str, str]] = []
-        pdf = pdf.sort_values(["block", "p", "q"], kind="stable")
-        block, bits, p, q = (pdf[c].to_numpy() for c in ("block", "bits", "p", "q"))
-        codes, texts = pdf["code"].to_numpy(dtype=np.int64).view(np.uint64), pdf["text"].to_numpy()
-        new = np.flatnonzero((block[1:] != block[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-        for a, b in zip([0, *new], [*new, len(block)]):
-            order = a + np.argsort(codes[a:b], kind="stable")
-            left = right = order
-            if p[a] == q[a]:
-                i, j = trie_pairs(codes[order], None, budget)
-            else:
-                top = codes[order] >> np.uint64(BITS - int(bits[a]))
-                left, right = order[top == p[a]], order[top == q[a]]
-                i, j = trie_pairs(codes[left], codes[right], budget)
-            i, j = left[i], right[j]
-            if len(i) > 32:
-                near = same_letters(texts[a:b], i - a, j - a)
-                i, j = i[near], j[near]
-            for x, y in zip(texts[i], texts[j]):
-                if same_words(x.split(" "), y.split(" ")):
-                    out.append((block[a], min(x, y), max(x, y)))
+        pdf["group"] = pdf.groupby(["block", "pick", "part"], sort=False).ngroup()
+        codes = pdf["code"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.lexsort((codes, pdf["group"].to_numpy()))
+        pdf, codes = pdf.iloc[order], codes[order]
+        group = pdf["group"].to_numpy()
+        new = np.flatnonzero(group[1:] != group[:-1]) + 1
+        i, j = trie_pairs(codes, np.concatenate([[0], new]), np.concatenate([new, [len(group)]]), budget)
+        agree, pick, texts, blocks = (pdf[c].to_numpy() for c in ("agreeing", "pick", "text", "block"))
+        first = np.ones(len(i), dtype=bool)
+        for s, ms in masks.items():
+            mine = np.flatnonzero(agree[i] == s)
+            differing, own = codes[i[mine]] ^ codes[j[mine]], pick[i[mine]]
+            for at, m in enumerate(ms):
+                first[mine] &= (own <= at) | ((differing & np.uint64(m)) != 0)
+        out = []
+        for x, y, b in zip(texts[i[first]], texts[j[first]], blocks[i[first]]):
+            if x != y and (accept is None or accept(x, y)):
+                out.append((b, min(x, y), max(x, y)))
         return pd.DataFrame(out, columns=["block", "text_a", "text_b"], dtype=object)
 
-    linked = work.groupBy("task").applyInPandas(join, "block string, text_a string, text_b string")
-    return linked.unionByName(records.select("block", F.col("text").alias("text_a"), F.col("text").alias("text_b")))
+    return work.groupBy("task").applyInPandas(join, "block string, text_a string, text_b string")
+
+
+def _same_openings_text(a: str, b: str) -> bool:
+    return same_words(a.split(" "), b.split(" "))
+
+
+def linked_texts(records: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Pairs of texts of one block that mean the same, from distinct ``block, text, code``; every text also comes with itself."""
+    return near_codes(records, budget, _same_openings_text).unionByName(records.select("block", F.col("text").alias("text_a"), F.col("text").alias("text_b")))
 
 
 def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
-    """Distinct ``url, block, text, code`` of postings that name employer, place and title.
+    """Distinct ``url, block, text`` of postings that name employer, place and title.
 
     The block is employer and place, each under its canonical spelling; the text
     is the title's telling words. Rows without one of the three are left out.
@@ -234,29 +298,35 @@ def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
     rows = jobs.select("url", "title", "company", "location").filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''")
     fixed = tuple(entries)
 
-    @F.pandas_udf(f"{READ}, place_id bigint, town string, town_plain string, text string, code bigint")
+    @F.pandas_udf(f"{READ}, place_id bigint, town string, town_plain string, text string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         gazetteer = gazetteer_of(fixed)
         of_place = lru_cache(100_000)(lambda v: (gazetteer.resolve(v), *place_words(v)))
-        of_text = lru_cache(100_000)(lambda t: int(np.uint64(simhash(t.split(" "))).astype(np.int64)))
         of_title = lru_cache(100_000)(lambda v: " ".join(title_words(v)))
         of_company = lru_cache(100_000)(read_company)
         for titles, companies, locations in batches:
             out = []
             for t, c, p in zip(titles, companies, locations):
-                text = of_title(t)
-                out.append((*of_company(c), *of_place(p), text, of_text(text)))
-            yield pd.DataFrame(out, columns=["core", "plain", "trade", "legal", "place_id", "town", "town_plain", "text", "code"])
+                out.append((*of_company(c), *of_place(p), of_title(t)))
+            yield pd.DataFrame(out, columns=["core", "plain", "trade", "legal", "place_id", "town", "town_plain", "text"])
 
-    known = rows.withColumn("r", read("title", "company", "location")).select("url", "r.*")
-    known = cut(known.withColumn("x", employer_node()), "opening-rows").filter("text <> '' and core <> '' and (place_id > 0 or town <> '')")
+    known = cut(rows.withColumn("r", read("title", "company", "location")).select("url", "r.*").withColumn("x", employer_node()), "opening-rows")
+    known = known.filter("text <> '' and core <> '' and (place_id > 0 or town <> '')")
     employers = employer_roots(known.groupBy("core", "plain", "trade", "legal").agg(F.count("*").alias("n")))
     unlisted = known.filter("place_id = 0").groupBy("town", "town_plain").agg(F.count("*").alias("n"))
     towns = fold_rare(unlisted, "town", "town_plain", F.sum("n")).select(F.col("x").alias("town"), F.col("root").alias("known_town"))
     place = F.when(F.col("place_id") > 0, F.concat(F.lit("#"), F.col("place_id"))).otherwise(F.coalesce("known_town", "town"))
-    short = known.select("url", "x", "place_id", F.when(F.col("place_id") == 0, F.col("town")).alias("town"), "text", "code").distinct()
+    short = known.select("url", "x", "place_id", F.when(F.col("place_id") == 0, F.col("town")).alias("town"), "text").distinct()
     full = short.join(employers, "x").join(towns, "town", "left")
-    return cut(full.select("url", F.concat_ws(" @ ", "root", place).alias("block"), "text", "code").distinct(), "opening-records")
+    return cut(full.select("url", F.concat_ws(" @ ", "root", place).alias("block"), "text").distinct(), "opening-records")
+
+
+def text_links(records: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``block, text_a, text_b`` of all texts that mean the same, and of every text with itself."""
+    texts = records.select("block", "text").distinct()
+    bits = letter_bits(texts, "text")
+    coded = cut(texts.withColumn("code", letter_code(F.col("text"), bits)), "opening-codes")
+    return cut(linked_texts(coded, budget), "opening-links")
 
 
 def same_openings(jobs: DataFrame, entries: list, budget: int = BUDGET) -> DataFrame:
@@ -266,8 +336,47 @@ def same_openings(jobs: DataFrame, entries: list, budget: int = BUDGET) -> DataF
     address are no pair; an empty table gives an empty result.
     """
     records = opening_records(jobs, entries)
-    links = cut(linked_texts(records.select("block", "text", "code").distinct(), budget), "opening-links")
+    links = text_links(records, budget)
     left = records.select("block", F.col("text").alias("text_a"), F.col("url").alias("u"))
     right = records.select("block", F.col("text").alias("text_b"), F.col("url").alias("v"))
     pairs = links.join(left, ["block", "text_a"]).join(right, ["block", "text_b"]).filter("u <> v")
     return pairs.select(F.least("u", "v").alias("url_a"), F.greatest("u", "v").alias("url_b")).distinct()
+
+
+def opening_groups(jobs: DataFrame, entries: list, budget: int = BUDGET) -> DataFrame:
+    """One row per address and opening: ``url, opening, representative, n_links``.
+
+    An opening is a class of texts joined by links, directly or through others,
+    within one employer and place, so the pairs of ``same_openings`` are among
+    its members. ``representative`` is its smallest address in binary order and
+    ``n_links`` the number of other texts that the address's text is linked to.
+    An address whose rows disagree may be in several openings. Copies of a text
+    stay one row each, so a class of any size has as many rows as members.
+    """
+    records = opening_records(jobs, entries)
+    links = text_links(records, budget)
+    node = lambda t: F.concat_ws("\x1f", "block", t)
+    edges = links.select(node("text_a").alias("a"), node("text_b").alias("b"))
+    root = components(edges, "opening-classes").withColumnRenamed("x", "node")
+    others = edges.filter("a <> b")
+    degree = others.select("a").unionByName(others.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    members = records.select("url", node("text").alias("node")).join(root, "node").join(degree, "node", "left")
+    members = cut(members.groupBy("root", "url").agg(F.max(F.coalesce("n_links", F.lit(0).cast("bigint"))).alias("n_links")), "opening-members")
+    heads = members.groupBy("root").agg(F.min("url").alias("representative"))
+    return members.join(heads, "root").select("url", F.col("root").alias("opening"), "representative", "n_links")
+
+
+def folded_title(title: Column) -> Column:
+    """Letters a to z of a title in lower case, other signs as single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(title), "äöüßéèáàíóúñç", "aouseeaaiounc"), "[^a-z]+", " "))
+
+
+def title_links(jobs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``title_a, title_b, distance`` of all different folded titles within ``edits`` (insertion, deletion, replacement).
+
+    One trie over all titles, without blocks. NULL and blank titles take no part.
+    """
+    titles = cut(jobs.select(folded_title(F.col("title")).alias("text")).filter("text <> ''").distinct(), "titles")
+    coded = cut(titles.select(F.lit("").alias("block"), "text", letter_code(F.col("text"), letter_bits(titles, "text")).alias("code")), "title-codes")
+    near = near_codes(coded, 2 * edits).select("text_a", "text_b", F.levenshtein("text_a", "text_b", edits).cast("bigint").alias("distance"))
+    return near.filter("distance >= 0").select(F.col("text_a").alias("title_a"), F.col("text_b").alias("title_b"), "distance")

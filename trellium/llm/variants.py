@@ -133,6 +133,27 @@ def follow_parents(parents: DataFrame, name: str) -> DataFrame:
     raise RuntimeError(f"{name}: parents do not settle in {ROUNDS} rounds")
 
 
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """``x, root`` of every node of ``a, b`` (a node without partners comes as ``a = b``): root is the smallest node joined to it.
+
+    Every node follows its smallest neighbour, the trees are drawn together to
+    their roots, and what is left between roots is the next round's graph, of
+    half the nodes at most. It ends when no edge is left, however long a chain is.
+    """
+    between = edges.filter("a <> b").distinct()
+    between = cut(between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
+    reached = cut(edges.select(F.col("a").alias("x")).unionByName(edges.select(F.col("b").alias("x"))).distinct().withColumn("root", F.col("x")), name)
+    while between.limit(1).count():
+        roots = follow_parents(between.groupBy(F.col("a").alias("x")).agg(F.least(F.col("x"), F.min("b")).alias("parent")), name)
+        reached = reached.join(roots.select(F.col("x").alias("via"), F.col("root").alias("next")), F.col("root") == F.col("via"), "left")
+        reached = cut(reached.select("x", F.coalesce("next", "root").alias("root")), name)
+        ends = between
+        for end in ("a", "b"):
+            ends = ends.join(roots.select(F.col("x").alias(end), F.col("root").alias(f"{end}_root")), end)
+        between = cut(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct(), name)
+    return reached
+
+
 def _node(core: Column, trade: Column, legal: Column) -> Column:
     """Names of one core and trade are one node; those without a trade only if their legal form agrees too."""
     return F.concat_ws("|", core, trade, F.when(trade == "", legal))
