@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+import trellium.llm.topn as topn
 from trellium.llm.topn import top_n_per_group
 
 SCHEMA = "source_key string, job_id bigint, fit_score int, last_seen_at timestamp_ntz, g string, c0 string, rank string"
@@ -21,7 +22,7 @@ def brute(rows, n=5):
     return sorted((k, x[2]) for k, v in groups.items() for x in sorted(v)[:n])
 
 
-def test_against_sorting_with_a_hot_group_ties_and_nulls(spark):
+def test_against_sorting_with_a_hot_group_ties_and_nulls(spark, monkeypatch):
     r = random.Random(3)
     rows = []
     for i in range(3000):
@@ -32,6 +33,8 @@ def test_against_sorting_with_a_hot_group_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert run(df) == brute(rows)
     assert run(df, 1) == brute(rows, 1)
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 3)  # too many groups: only the hot one's state is broadcast
+    assert run(df) == brute(rows)
 
 
 def test_equal_rows_empty_and_small(spark):
@@ -39,3 +42,13 @@ def test_equal_rows_empty_and_small(spark):
     assert run(spark.createDataFrame(same, SCHEMA)) == [("k", 7)] * 5
     assert run(spark.createDataFrame([], SCHEMA)) == []
     assert run(spark.createDataFrame([("k", 1, None, None, "", "", ""), ("j", 2, -3, None, "", "", "")], SCHEMA)) == [("j", 2)]
+
+
+def test_large_groups_never_meet_in_a_shuffle(spark):
+    rows = spark.range(100).select((F.col("id") % 7).cast("string").alias("g"), F.col("id").alias("c0"))
+    state = rows.groupBy("g").agg(F.max("c0").alias("hi"))
+    hot = spark.createDataFrame([("3",)], "g string")
+    joined = topn._with_state(rows, state, hot)
+    assert joined.count() == 100
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("LeftSemi") == 1 and plan.count("broadcast") >= 3

@@ -14,8 +14,14 @@ BROADCAST_GROUPS = 20_000
 _MIN = -(1 << 62)
 
 
-def _with_state(rows: DataFrame, state: DataFrame, n_groups: int) -> DataFrame:
-    return rows.join(F.broadcast(state) if n_groups <= BROADCAST_GROUPS else state, "g")
+def _with_state(rows: DataFrame, state: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows of a group with its state. With ``hot``, the names of the large groups, only their state is
+    broadcast and the rows of all others meet theirs by a shuffle, which then holds small groups only."""
+    if hot is None:
+        return rows.join(F.broadcast(state), "g")
+    large = rows.join(F.broadcast(state.join(F.broadcast(hot), "g", "left_semi")), "g")
+    small = rows.join(F.broadcast(hot), "g", "left_anti").join(state, "g")
+    return large.unionByName(small)
 
 
 def top_n_per_group(df: DataFrame, group: str, code: list[Column], n: int, keep: list[str]) -> DataFrame:
@@ -32,7 +38,10 @@ def top_n_per_group(df: DataFrame, group: str, code: list[Column], n: int, keep:
     All groups are bisected at once. A round counts, per group, the rows above
     255 equidistant midpoints of the group's interval (with partial sums
     before the shuffle, so a group of any size costs 256 numbers per task) and
-    narrows the interval to the one part that holds the N-th row; a group ends
+    narrows the interval to the one part that holds the N-th row. Where there
+    are too many groups to broadcast their state, those with more than a
+    20,000th of all rows, which are no more than 20,000, still have theirs
+    broadcast, so no task ever gathers one; a group ends
     when the rows above its cutoff are exactly N. Only rows inside an interval
     still open are read again. An interval of one value goes on to the next
     component of the code.
@@ -49,10 +58,13 @@ def top_n_per_group(df: DataFrame, group: str, code: list[Column], n: int, keep:
 
     sizes = codes.groupBy("g").agg(F.count("*").alias("cnt"), F.min("c0").alias("lo"), F.max("c0").alias("hi"))
     start = sizes.select(
-        "g", F.lit(0).alias("level"), "lo", "hi", F.lit(n).cast("bigint").alias("need"), (F.col("cnt") <= n).alias("done"), *[F.lit(_MIN).cast("bigint").alias(f"p{i}") for i in range(depth)]
+        "g", "cnt", F.lit(0).alias("level"), "lo", "hi", F.lit(n).cast("bigint").alias("need"), (F.col("cnt") <= n).alias("done"), *[F.lit(_MIN).cast("bigint").alias(f"p{i}") for i in range(depth)]
     )
-    state = cut(start, "topn-state")
-    n_groups = state.count()
+    sized = cut(start, "topn-state")
+    state, hot = sized.drop("cnt"), None
+    n_groups, n_rows = sized.agg(F.count("*"), F.sum("cnt")).head()
+    if n_groups > BROADCAST_GROUPS:
+        hot = cut(sized.filter(F.col("cnt") > n_rows / BROADCAST_GROUPS).select("g"), "topn-hot")
     settled = state.filter("done")
     open_state, active = state.filter("not done"), codes
     n_open = open_state.count()
@@ -63,7 +75,7 @@ def top_n_per_group(df: DataFrame, group: str, code: list[Column], n: int, keep:
         for i in range(depth):
             same = same & ((F.col("level") <= i) | (F.col(f"c{i}") == F.col(f"p{i}")))
         width = F.expr(f"(hi - lo) div {SPLITS} + 1")
-        inside = _with_state(active, open_state, n_groups).filter(same).withColumn("v", value).filter("v between lo and hi")
+        inside = _with_state(active, open_state, hot).filter(same).withColumn("v", value).filter("v between lo and hi")
         inside = inside.withColumn("part", F.floor((F.col("v") - F.col("lo")) / width)).withColumn("following", following)
         fixed = ["level", "need", *[f"p{i}" for i in range(depth)]]
         counts = inside.groupBy("g", "part").agg(
@@ -93,10 +105,10 @@ def top_n_per_group(df: DataFrame, group: str, code: list[Column], n: int, keep:
         nxt = cut(nxt, "topn-state")
         settled = settled.unionByName(nxt.filter("done"))
         open_state = nxt.filter("not done")
-        active = cut(_with_state(active, open_state.select("g", "level", *[f"p{i}" for i in range(depth)], "lo", "hi"), n_groups).filter(same).withColumn("v", value).filter("v between lo and hi").select("g", *names), "topn-rows")
+        active = cut(_with_state(active, open_state.select("g", "level", *[f"p{i}" for i in range(depth)], "lo", "hi"), hot).filter(same).withColumn("v", value).filter("v between lo and hi").select("g", *names), "topn-rows")
         n_open = open_state.count()
 
     at_or_above = F.struct(*names) >= F.struct(*[f"p{i}" for i in range(depth)])
-    chosen = _with_state(rows, settled.select("g", *[f"p{i}" for i in range(depth)]), n_groups).filter(at_or_above)
+    chosen = _with_state(rows, settled.select("g", *[f"p{i}" for i in range(depth)]), hot).filter(at_or_above)
     rank = F.row_number().over(Window.partitionBy("g").orderBy(*[F.desc(c) for c in names]))  # wholly equal codes only
     return chosen.withColumn("rank", rank).filter(F.col("rank") <= n).select(F.col("g").alias(group), *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)])
