@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-from trellium.operators.orphans import orphan_references, orphan_report
+import pandas as pd
+
+from trellium.operators.orphans import orphan_references, orphan_report, surviving_bits
 
 REFS, PARENTS = "ref_table string, ref_id bigint, key string, at timestamp_ntz, period string", "key string, at timestamp_ntz, n int"
 
@@ -45,3 +47,20 @@ def test_empty_tables(spark):
     assert orphan_references([none], no_parents).count() == 0
     found = orphan_references([some, none], no_parents)
     assert [tuple(r) for r in orphan_report(found).collect()] == [("a", None, "missing", 1)]
+
+
+def test_long_keys_and_keys_that_differ_by_their_last_sign():
+    keys = ["x" * 100_000, "k", "k\0", *map(str, range(20_000))]
+    pdf = pd.DataFrame({"key": keys, "period": 1, "n": 1, "parent": [i == 1 for i in range(len(keys))], "first_visit": pd.NaT})
+    got = surviving_bits(pdf)
+    assert set(got["key"]) == set(keys) - {"k"} and set(got["ref_state"]) == {"missing"}
+
+
+def test_a_hot_key_leaves_the_shuffle(spark):
+    """Half of all references share one key and month; it is no orphan, and yet no task joins it by shuffle."""
+    now = datetime(2025, 3, 1)
+    refs = spark.createDataFrame([("a", i, "hot" if i % 2 else str(i), now, "") for i in range(2000)], REFS)
+    found = orphan_references([refs], spark.createDataFrame([("hot", datetime(2025, 1, 1), 1)], PARENTS), hot_rows=100)
+    assert found.count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 2 and plan.count("LeftSemi") == 1

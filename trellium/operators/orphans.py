@@ -30,7 +30,9 @@ def month_index(t):
 
 def surviving_bits(pdf: pd.DataFrame) -> pd.DataFrame:
     """One key range: encode, build bitmaps, AND NOT, decode."""
-    dictionary, codes = np.unique(pdf["key"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    code_of: dict[str, int] = {}
+    codes = np.fromiter((code_of.setdefault(k, len(code_of)) for k in pdf["key"]), dtype=np.int64, count=len(pdf))
+    dictionary = np.array(list(code_of), dtype=object)
     parent = pdf["parent"].to_numpy(dtype=bool)
     period = pdf["period"].fillna(-1).to_numpy(dtype=np.int64)
     existing = Bitmap.of(codes[parent])
@@ -73,36 +75,37 @@ def orphan_references(references: Iterable[DataFrame], parents: DataFrame, hot_r
     Returns ``ref_table, ref_id, ref_state, period``; period counts months.
 
     A key that holds any share of all references takes one row per month in
-    the bitmaps. For the way back to the records, keys of at least ``hot_rows``
-    references (and at least a thousandth of all rows) are broadcast, at most a
-    thousand of them, so no task gathers them.
+    the bitmaps. On the way back to the records, keys of at least ``hot_rows``
+    references in a month (and at least a thousandth of all rows, so a thousand
+    keys at most) are taken out of the shuffle and meet their state by a
+    broadcast, orphans or not, so no task gathers them.
     """
-    refs, rows = None, 0
+    refs = None
     for r in references:
-        rows += r.count()
         r = r.select(F.col("ref_table").cast("string"), F.col("ref_id").cast("bigint"), F.col("key").cast("string"), F.col("at").cast("timestamp_ntz"))
         refs = r if refs is None else refs.unionByName(r)
-    refs = refs.filter("key is not null").withColumn("period", F.coalesce(month_index("at"), F.lit(-1)))
+    refs = cut(refs.filter("key is not null").withColumn("period", F.coalesce(month_index("at"), F.lit(-1))), "orphan-references")
     parent = parents.select(F.col("key").cast("string"), F.col("at").cast("timestamp_ntz")).filter("key is not null")
-    rows += parents.count()
-    ranges = max(1, -(-rows // KEYS_PER_RANGE)) * 4
 
-    asked = refs.groupBy("key", "period").agg(F.count("*").alias("n"))
+    on = ["key", "period"]
+    asked = refs.groupBy(on).agg(F.count("*").alias("n"))
     there = parent.groupBy("key").agg(F.min("at").alias("first_visit"))
     both = asked.select("key", "period", "n", F.lit(False).alias("parent"), F.lit(None).cast("timestamp_ntz").alias("first_visit")).unionByName(
         there.select("key", F.coalesce(month_index("first_visit"), F.lit(-1)).alias("period"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("parent"), "first_visit")
     )
+    both = cut(both, "orphan-counts")
+    n_keys, n_refs = both.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    ranges = max(1, -(-n_keys // KEYS_PER_RANGE)) * 4
     survivors = (
         both.withColumn("key_range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
         .groupBy("key_range")
         .applyInPandas(surviving_bits, "key string, period int, ref_state string, first_visit timestamp_ntz, n bigint")
     )
-    survivors = cut(survivors, "orphan-keys")
+    survivors = cut(survivors, "orphan-keys").drop("n")
 
-    hot_from = max(hot_rows, rows // 1000)
-    hot, cold = survivors.filter(F.col("n") >= hot_from), survivors.filter(F.col("n") < hot_from)
-    on = ["key", "period"]
-    found = refs.join(cold.drop("n"), on).unionByName(refs.join(F.broadcast(hot.drop("n")), on))
+    hot = F.broadcast(both.filter(F.col("n") >= max(hot_rows, n_refs // 1000)).select(on))
+    found = refs.join(hot, on, "left_anti").join(survivors.join(hot, on, "left_anti"), on)
+    found = found.unionByName(refs.join(F.broadcast(survivors.join(hot, on, "left_semi")), on))
     exact = F.when(F.col("ref_state") != _CHECK, F.col("ref_state")).when(F.col("first_visit") > F.col("at"), F.lit(LATE))
     return found.withColumn("ref_state", exact).filter("ref_state is not null").select("ref_table", "ref_id", "ref_state", "period")
 
