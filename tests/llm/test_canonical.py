@@ -44,3 +44,24 @@ def test_banded_distance_against_the_full_table():
         for k in (0, 1, 2, 3):
             want = full(a, b)
             assert osa_within(a, b, k) == (want if want <= k else None)
+
+
+TOWNS = [(1, "Bad Homburg", None), (2, "Homburg", None), (3, "Villingen-Schwenningen", None), (4, "Neustadt an der Lohr", None), (5, "Alt Neu Mittel Oberhausen", None), (6, "Bad Salzuflen", "Salzuflen Spa Town"), (7, "Bad Salzungen", None), (8, "Karlsruhe", None)]
+
+
+@pytest.mark.parametrize(
+    "value,want",
+    [
+        ("Homburg, Bad", 1), ("Homburg (Bad), DE", 1), ("Homburg", 2), ("Schwenningen Villingen", 3), ("Schwenningen/Vilingen", 3), ("Schweningen, Vilingen", 0), ("Mittel Oberhausn Alt Neu", 5), ("AltNeu MittelOberhausen", 5), ("Alt-Neu-Mittel-Oberhausne", 5),
+        ("Salzufeln, Bad", 6), ("Town of Salzuflen Spa", 6), ("Bad Salzung", 0), ("Bed Salzuflen", 6), ("Salzuflen, Bed", 0), ("Ruhe, Karls", 0), ("Neustadt Lorh", 4), ("Neustadt, Varn", 4), ("Bad Bad", 0),
+    ],
+)
+def test_names_of_several_words_in_any_order(value, want):
+    assert Gazetteer(TOWNS).resolve(value) == want
+
+
+def test_qualifiers_by_index_as_by_comparison():
+    g = Gazetteer([(i, f"Haselweiler am {q}", None) for i, q in enumerate(["Quarzsee", "Lohrbach", "Lohrbuch", "Elm", "Ems"], 1)])
+    for t in ["quarzsee", "quarsee", "lohrbach", "lohrbech", "lohrboch", "elm", "emss", "em"]:
+        near = {q for q in g.qualifiers if len(q) >= 4 and len(t) >= 4 and osa_within(t, q, 1) is not None}
+        assert g._qualifier([t]) == (t if t in g.qualifiers else min(near) if near else "")

@@ -2,8 +2,10 @@
 
 A multi-pattern automaton over the canonical names and their second names finds
 mentions inside a value; the longest match wins and matches do not overlap.
-What has no mention goes to token-set similarity: one or more neighbouring words
-of the value, joined, against the names, where one edit in all is allowed.
+What has no mention goes to token-set similarity: a name is similar when each of
+its words is among the value's, in any order, or when neighbouring words of the
+value, joined, are the name, where one edit in all is allowed. Words and names
+within an edit are looked up by their forms with one letter left out.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ class Gazetteer:
     min_fuzzy: int = 6
     by_base: dict[str, dict[str, int]] = field(default_factory=dict)
     exact: set[str] = field(default_factory=set)
+    word_sets: dict[str, set[tuple[str, ...]]] = field(default_factory=dict)  # base to its words, as each name has them
 
     def __post_init__(self):
         import ahocorasick
@@ -45,7 +48,10 @@ class Gazetteer:
             base, qualifier = self.split(name)
             # of two entries with one name the smaller id holds it
             for b in [base, *([self.split(other)[0]] if other else [])]:
-                slot = self.by_base.setdefault(b, {})
+                if not "".join(b):
+                    continue  # a name without a letter or digit cannot be mentioned
+                self.word_sets.setdefault("".join(b), set()).add(b)
+                slot = self.by_base.setdefault("".join(b), {})
                 slot[qualifier] = min(place_id, slot.get(qualifier, place_id))
         self.qualifiers = {q for slot in self.by_base.values() for q in slot if q}
         self.auto = ahocorasick.Automaton()
@@ -58,10 +64,22 @@ class Gazetteer:
             if len(b) >= self.min_fuzzy:
                 for form in one_deletions(b):
                     self.near.setdefault(form, []).append(b)
+        self.longest_name = max(map(len, self.by_base), default=0)
+        self.longest = max((len(w) for sets in self.word_sets.values() for w in sets), default=1)
+        self.near_word: dict[str, list[tuple[str, tuple[str, ...], int]]] = {}
+        for b, sets in self.word_sets.items():
+            for w in sets:
+                for i, word in enumerate(w if len(w) > 1 else ()):
+                    for form in one_deletions(word) if len(word) >= self.min_fuzzy - 1 else {word}:
+                        self.near_word.setdefault(form, []).append((b, w, i))
+        self.near_qualifier: dict[str, list[str]] = {}
+        for q in sorted(self.qualifiers):
+            for form in one_deletions(q) if len(q) >= 4 else ():
+                self.near_qualifier.setdefault(form, []).append(q)
 
     @staticmethod
-    def split(name: str) -> tuple[str, str]:
-        """Base and qualifier, both as joined skeleton letters."""
+    def split(name: str) -> tuple[tuple[str, ...], str]:
+        """Words of the base, and the qualifier, as skeleton letters."""
         head, tail = name, ""
         if m := re.match(r"^([^(/]+?)\s*(?:\(|/)\s*(.+?)\)?\s*$", name):
             head, tail = m.groups()
@@ -71,7 +89,7 @@ class Gazetteer:
             if at:
                 head, tail = " ".join(w[:at]), " ".join(w[at:])
         content = [x for x in words(tail) if x not in LINK_WORDS]
-        return "".join(words(head)), (content[-1] if content else "")
+        return tuple(words(head)), (content[-1] if content else "")
 
     def _mentions(self, toks: list[str]) -> list[tuple[int, int, str]]:
         """Longest non-overlapping matches at word limits: (first token, end token, base)."""
@@ -94,36 +112,69 @@ class Gazetteer:
                 out.append((a, b, base))
         return sorted(out)
 
-    def _similar(self, toks: list[str]) -> list[tuple[int, int, str]]:
-        """Windows of up to three words within the edit budget of a name; the closest, then the longest first."""
-        best: list[tuple[int, int, int, int, str]] = []
+    def _joined(self, toks: list[str]) -> Iterator[tuple[int, int, int, int, str]]:
+        """(edits, -length, first token, end token, base) of neighbouring words that are a name together."""
         for a in range(len(toks)):
-            for b in range(a + 1, min(a + 3, len(toks)) + 1):
-                w = "".join(toks[a:b])
+            w = ""
+            for b in range(a + 1, len(toks) + 1):
+                w += toks[b - 1]
+                # every further word has a letter at least
+                if b - a > self.longest + 1 and len(w) > self.longest_name + self.max_edits:
+                    break
                 if len(w) < self.min_fuzzy - 1 or w.isdigit():
                     continue
                 for form in one_deletions(w):
                     for base in self.near.get(form, ()):
                         d = osa_within(w, base, self.max_edits)
                         if d is not None:
-                            best.append((d, -len(base), a, b, base))
+                            yield d, -len(base), a, b, base
+
+    def _word_sets(self, toks: list[str]) -> Iterator[tuple[int, int, int, int, str]]:
+        """The same of names of several words, each of which is among the value's, wherever it stands."""
+        met: dict[tuple[str, tuple[str, ...]], list[dict[int, int]]] = {}
+        for at, t in enumerate(toks):
+            for form in one_deletions(t) if len(t) >= self.min_fuzzy - 1 else {t}:
+                for base, name, i in self.near_word.get(form, ()):
+                    d = osa_within(t, name[i], self.max_edits)
+                    if d is not None:
+                        places = met.setdefault((base, name), [{} for _ in name])[i]
+                        places[at] = min(d, places.get(at, d))
+        for (base, name), places in met.items():
+            taken: list[tuple[int, int]] = []  # (token, edits), the word with the fewest places first
+            for options in sorted(places, key=len):
+                free = [(d, at) for at, d in options.items() if at not in {x for x, _ in taken}]
+                if not free:
+                    break
+                d, at = min(free)
+                taken.append((at, d))
+            if len(taken) == len(name) and sum(d for _, d in taken) <= self.max_edits:
+                yield sum(d for _, d in taken), -len(base), min(x for x, _ in taken), max(x for x, _ in taken) + 1, base
+
+    def _similar(self, toks: list[str]) -> list[tuple[int, int, str]]:
+        """The similar name with the fewest edits, of those the longest; none where two are equally near."""
+        best = [*self._joined(toks), *self._word_sets(toks)]
         if not best:
             return []
         d, _, a, b, base = min(best)
         if len({x[4] for x in best if x[0] == d and -x[1] == len(base)}) > 1:
-            return []  # two names are equally near
+            return []
         return [(a, b, base)]
 
+    def _reordered(self, toks: list[str], hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """A name whose words all occur, in another order, and which holds every mention: it is what was meant."""
+        whole = sorted(x for x in self._word_sets(toks) if x[0] == 0 and all(-x[1] > len(h[2]) and x[2] <= h[0] and h[1] <= x[3] for h in hits))
+        names = {x[4] for x in whole if x[1] == whole[0][1]}
+        return [(whole[0][2], whole[0][3], whole[0][4])] if len(names) == 1 else hits
+
     def _qualifier(self, toks: list[str]) -> str | None:
         """The known qualifier among the words behind a mention, '' without any; None for a qualifier nobody has."""
         for t in toks:
             t = _SAINT.get(t, t)
             if t in self.qualifiers:
                 return t
-            if len(t) >= 4:
-                for q in self.qualifiers:
-                    if len(q) >= 4 and osa_within(t, q, 1) is not None:
-                        return q
+            near = {q for form in one_deletions(t) for q in self.near_qualifier.get(form, ()) if osa_within(t, q, 1) is not None} if len(t) >= 4 else ()
+            if near:
+                return min(near)
         return ""
 
     def resolve(self, value: str | None) -> int:
@@ -131,7 +182,7 @@ class Gazetteer:
         if value is None or not value.strip():
             return 0
         toks = words(value)
-        hits = self._mentions(toks) or self._similar(toks)
+        hits = self._reordered(toks, found) if (found := self._mentions(toks)) else self._similar(toks)
         if not hits:  # an edit may have made or broken a digraph
             toks = words(value, digraphs=False)
             hits = self._similar(toks)

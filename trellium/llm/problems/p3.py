@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.llm.canonical import canonical_id, load_entries
+from trellium.operators.keyed import computed
 from trellium.plans.tables import table
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
     entries = load_entries(table(spark, d, "gazetteer"))
     names = F.broadcast(table(spark, d, "gazetteer").select(F.col("place").alias("location")).distinct())  # no more than load_entries allows
     typed = table(spark, d, "jobs").select("job_id", "location").filter(F.trim("location") != "").join(names, "location", "left_anti")
-    return typed.select("job_id", canonical_id(F.col("location"), entries).alias("place_id"))
+    return computed(typed, "place_id", canonical_id(F.col("location"), entries))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("job_id", "place_id")
 
 
 def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed values that name no place, and how often."""
-    return p3_found(spark, d).filter("place_id = 0").join(table(spark, d, "jobs").select("job_id", "location"), "job_id").groupBy("location").agg(F.count("*").alias("n_jobs"))
+    return _mapped(spark, d).filter("place_id = 0").groupBy("location").agg(F.count("*").alias("n_jobs"))
 
 
 def queries():
