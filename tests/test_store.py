@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 from trellium.functions.decode import page_decision
 from trellium.functions.html import anchors, json_ld
-from trellium.functions.jsonld import json_ld_postings
+from trellium.functions.jsonld import embedded_leaves, json_ld_postings, postings_text
 from trellium.operators.keyed import capped, insert_new, last_write, upsert
 from trellium.sources.store import Store, append_events, export_csv, export_jsonl, read_seeds, robots_allow, with_schema
 
@@ -50,7 +50,7 @@ def test_links_and_embedded_postings(spark):
     </A><script type="application/ld+json">{"@graph":[{"@type":["JobPosting"],"title":"T","hiringOrganization":{"legalName":"C"},"url":"/p","jobLocation":[{"address":{"addressLocality":"L","addressCountry":"DE"}},{"address":"M"}]},{"@type":"jobposting","title":"t","url":"/p"}]}</script>
     <script type="application/ld+json">broken {</script>"""
     df = spark.createDataFrame([(html,), (None,)], "h string")
-    r = df.select(anchors(F.col("h")).alias("a"), json_ld_postings(json_ld(F.col("h")), F.lit("https://b.example/q")).alias("p")).collect()
+    r = df.select(anchors(F.col("h")).alias("a"), json_ld_postings(embedded_leaves(json_ld(F.col("h"))), F.lit("https://b.example/q")).alias("p")).collect()
     assert [(x.href, x.text) for x in r[0].a] == [("/x", "A & B"), ("y", "Y")]
     assert [(x.title, x.company, x.location, x.url) for x in r[0].p] == [("T", "C", "L, DE; M", "https://b.example/p")]
     assert r[1].p == []
@@ -69,3 +69,13 @@ def test_robots(spark):
     df = spark.createDataFrame([("https://h/private/x", rules), ("https://h/a", rules), ("https://h/a", None)], "u string, r string")
     assert [r[0] for r in df.select(robots_allow(F.col("u"), F.col("r"))).collect()] == [False, True, True]
     assert not df.filter("r is null").select(robots_allow(F.col("u"), F.col("r"), strict=True)).head()[0]
+
+
+def test_postings_of_any_depth_and_shape(spark):
+    deep = "[" * 300 + '{"type":"JOBPOSTING","title":"Deep","url":"d"}' + "]" * 300
+    raws = [deep, '{"@type":"JobPosting","title":" ","url":"x"}', '{"@type":"JobPosting","title":"No address","jobLocation":"Here","hiringOrganization":["A",{"name":"B"}]}', '{"@type":"Event","title":"E"}', "7", ""]
+    df = spark.createDataFrame([(raws, "https://a.test/p/q"), ([], "https://a.test/")], "r array<string>, b string")
+    rows = df.select(json_ld_postings(embedded_leaves(F.col("r")), F.col("b")).alias("p")).select("p", postings_text(F.col("p")).alias("t"), postings_text(F.col("p"), 1).alias("one")).collect()
+    assert [(x.title, x.company, x.location, x.url) for x in rows[0].p] == [("Deep", "", "", "https://a.test/p/d"), ("No address", "A, B", "Here", "https://a.test/p/q")]
+    assert rows[0].t.splitlines()[:3] == ["STRUCTURED JOBPOSTING DATA:", "1. Title: Deep", "   URL: https://a.test/p/d"] and "2. Title: No address" in rows[0].t
+    assert "2." not in rows[0].one and rows[1].t == ""

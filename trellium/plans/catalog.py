@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trellium.plans import keyed, memory, orphans, texts, urls
+from trellium.plans import frontier, keyed, memory, orphans, postings, texts, urls
 
-_MODULES = (memory, keyed, urls, texts, orphans)
+_MODULES = (memory, keyed, frontier, urls, texts, postings, orphans)
 
 
 def queries():
