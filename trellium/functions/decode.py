@@ -42,3 +42,21 @@ def page_decision(raw: Column) -> Column:
     return F.when(
         d.isNotNull(), F.struct(jobs.alias("jobs"), follow.alias("follow_urls"), clamp_int(d["source_quality"], 0, 100).alias("source_quality"), as_text(d["source_notes"], 1000).alias("source_notes"))
     )
+
+
+#: Characters kept of a suggested query and of its reason.
+QUERY_CHARS, REASON_CHARS = 400, 800
+
+
+def query_suggestions(raw: Column) -> Column:
+    """array<struct<query, reason>> of a reply's queries, which are texts or objects; other items and blank queries are dropped."""
+    items = F.try_variant_get(F.try_parse_json(json_object(raw)), "$.queries", "array<variant>")
+    text = lambda v, path: F.trim(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+
+    def read(v: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(v), F.lit(""))
+        alone = kind == "STRING"
+        query = F.when(alone, text(v, "$")).when(kind.startswith("OBJECT"), text(v, "$.query")).otherwise("")
+        return F.struct(F.substring(query, 1, QUERY_CHARS).alias("query"), F.substring(F.when(alone, "").otherwise(text(v, "$.reason")), 1, REASON_CHARS).alias("reason"))
+
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<variant>")), read), lambda q: q["query"] != "")

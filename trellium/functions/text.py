@@ -159,3 +159,27 @@ def first_term(x: Column | str, terms: list[str]) -> Column:
     """The first of the terms, in their order, that a text holds; '' if none."""
     hits = substring_hits(x, terms)
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(""))
+
+
+def pattern_hits(x: Column | str, patterns: list[str]) -> Column:
+    """The patterns that a text holds, in their order; letters of any script have two cases under (?i)."""
+    t = F.coalesce(_c(x), F.lit(""))
+    return F.filter(F.array(*[F.when(t.rlike(p.replace("(?i)", "(?iu)")), F.lit(p)) for p in patterns]), lambda p: p.isNotNull())
+
+
+# Words of employer names that make no alias.
+ALIAS_STOP_WORDS = ["gmbh", "ag", "se", "kg", "mbh", "co", "company", "corp", "corporation", "inc", "ltd", "limited", "llc", "plc", "group", "holding", "holdings", "deutschland", "germany", "international", "global", "the", "and", "und"]
+
+
+def company_aliases(x: Column | str) -> Column:
+    """Distinct short forms of an employer name, three letters at least: words, joined words, the first telling word, the first two apart and joined, initials."""
+    words = company_words(x)
+
+    def forms(telling: Column) -> Column:
+        two = F.slice(telling, 1, 2)
+        pair = F.when(F.size(telling) >= 2, F.array(F.array_join(two, " "), F.array_join(two, ""))).otherwise(F.array().cast("array<string>"))
+        initials = F.array_join(F.transform(telling, lambda t: F.substring(t, 1, 1)), "")
+        return F.concat(F.array(words, F.replace(words, F.lit(" "), F.lit(""))), F.slice(telling, 1, 1), pair, F.array(initials))
+
+    telling = F.filter(F.split(words, " "), lambda t: (t != "") & ~t.isin(ALIAS_STOP_WORDS))
+    return F.array_distinct(F.filter(let(telling, forms), lambda a: F.length(a) >= 3))

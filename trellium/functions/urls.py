@@ -130,20 +130,24 @@ def resolve(base: Column, ref: Column) -> Column:
     )
 
 
-def clean_url(raw: Column | str, base: Column | None = None, unwraps: int = 2) -> Column:
+def unwrapped(url: Column) -> Column:
+    """The target behind redirect links of two search engines, as many levels deep as the address names them."""
+    levels = F.regexp_count(F.lower(url), F.lit(r"duckduckgo\.com|google\."))
+    return F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), url, lambda v, _: _unwrap_once(v))).otherwise(url)
+
+
+def clean_url(raw: Column | str, base: Column | None = None) -> Column:
     """Canonical form of a link, or NULL where it is not admissible.
 
     Scheme and host in lower case, path normalised, tracking parameters, path
     parameters and fragment dropped, other parameters kept in order and encoded
-    anew; redirect links of two search engines are followed ``unwraps`` deep.
+    anew; redirect links of two search engines are followed to their end.
     NULL for NULL, blanks, other schemes, no host, excluded hosts or files.
     """
     value = strip(raw)
     if base is not None:
         value = let(value, lambda v: resolve(base, v))
-    for _ in range(unwraps):
-        value = let(value, lambda v: F.when(F.lower(v).rlike(r"duckduckgo\.com|google\."), _unwrap_once(v)).otherwise(v))
-    return let(value, lambda v: let(_split(v), _compose))
+    return let(let(value, unwrapped), lambda v: let(_split(v), _compose))
 
 
 def _split(url: Column) -> Column:
@@ -219,6 +223,7 @@ INDEX_URLS = [
     r"/stellensuche(\.html)?($|[?#])", r"/job-search(\.html)?($|[?#])", r"/jobs/search($|[/?#])", r"/jobs/?($|[?#])", r"/stellenangebote/?($|[?#])", r"/stellenanzeigen/?($|[?#])", r"/jobs/in-", r"/jobs/[^/?#]+/in-", r"/career/?$", r"/careers/?$",
     r"/career/.*/home(\.html)?$", r"/career/.*/standorte/", r"/career/.*/locations/", r"/standorte/", r"/locations/",
 ]
+# Words that tell nothing in a slug, and parameters that only arrange a listing.
 GENERIC_SLUG_WORDS = ["job", "jobs", "career", "careers", "karriere", "stellen", "stellenangebote", "stellenangebot", "angebote", "html", "de", "en", "mwd", "wmd", "fmd", "all", "genders", "muenchen", "munich", "germany", "deutschland"]
 LISTING_KEYS = ["sort", "sortdir", "showfavorites", "change_c", "locale", "language", "lang"]
 
@@ -234,6 +239,17 @@ def denied(url: Column, text: Column) -> Column:
     return url.rlike(urls) | t.rlike(urls) | t.rlike(texts)
 
 
+# Further shapes of addresses that are no detail pages.
+NO_DETAIL = [r"initiativbewerbung", r"initativbewerbung", r"spontaneous[-_ ]application", r"speculative[-_ ]application", r"unsolicited[-_ ]application", r"talent[-_ ]pool", r"talent[-_ ]community", r"spontanbewerbung"]
+
+
+def probable_detail(url: Column, title: Column, names_role: Column) -> Column:
+    """Whether an address is a detail page: never one of a listing or an open application, surely one of a known shape, else one of two path segments that names a role."""
+    both = F.concat(url, F.lit("\n"), F.coalesce(title, F.lit("")))
+    deep = F.size(F.filter(F.split(url_path(url), "/"), lambda s: s != "")) >= 2
+    return F.when(both.rlike("(?i)" + alternation([*INDEX_URLS, *NO_DETAIL])), F.lit(False)).when(both.rlike("(?i)" + alternation(DETAIL_URLS)), F.lit(True)).otherwise(deep & names_role & ~index_like(url))
+
+
 def detail_like(url: Column) -> Column:
     return url.rlike("(?i)" + alternation(DETAIL_URLS))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trellium.plans import frontier, keyed, memory, orphans, postings, texts, urls
+from trellium.plans import frontier, keyed, memory, orphans, postings, prompts, stores, texts, urls
 
-_MODULES = (memory, keyed, frontier, urls, texts, postings, orphans)
+_MODULES = (memory, keyed, frontier, urls, texts, prompts, postings, stores, orphans)
 
 
 def queries():

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,14 +75,40 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end, so a long application keeps none.
+
+    Results must have been written or collected by then.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of the scope, or of the process."""
+    path = f"{shared_dir(spark)}/trellium/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage behind the written files, so a lost executor
-    never recomputes what came before. Files go when the process ends.
+    never recomputes what came before. Files go as those of ``scratch`` do.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trellium/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
