@@ -18,11 +18,11 @@ def loop(events, rules=MemoryRules()):
                 d -= 150 + (150 if s["streak"] >= 4 else 0)
             if q <= 30:
                 d -= 250
-            s["jobs"], s["high"] = s["jobs"] + jobs, s["high"] + high
         else:
             d -= 300 if status == "blocked_by_robots" else 500
             s["streak"] += 1
             s["blocked" if status == "blocked_by_robots" else "errors"] += 1
+        s["jobs"], s["high"] = s["jobs"] + jobs, s["high"] + high
         s["score"] = max(0, min(10000, s["score"] + d))
         s["visits"], s["q"] = s["visits"] + 1, max(0, min(100, q))
     return sorted((k, v["score"] / 100, v["visits"], v["jobs"], v["high"], v["errors"], v["blocked"], v["streak"], v["q"]) for k, v in out.items())
@@ -33,7 +33,7 @@ def events(seed, n, start=datetime(2025, 3, 1)):
     out = []
     for i in range(n):
         status = r.choice(["ok", "ok", "ok", "blocked_by_robots", "error:x"])
-        jobs = r.choice([0, 0, 0, 1, 2]) if status == "ok" else 0
+        jobs = r.choice([0, 0, 0, 1, 2])
         out.append((r.choice(["a", "b", "c", None]) if r.random() > 0.3 else "a", start + timedelta(hours=r.randrange(300)), i, status, jobs, min(jobs, r.randrange(2)), r.randrange(-20, 130)))
     return out
 
@@ -41,8 +41,8 @@ def events(seed, n, start=datetime(2025, 3, 1)):
 def test_chunked_fold_is_the_loop(spark):
     rows = events(1, 600)
     df = spark.createDataFrame(rows, EVENTS)
-    for chunk in ("hour", "day", "year"):
-        assert sorted(map(tuple, source_memory_fold(df, chunk=chunk).collect())) == loop(rows)
+    for most in (1, 7, 60, 10_000):  # down to seconds, hours, days, and uncut
+        assert sorted(map(tuple, source_memory_fold(df, chunk_rows=most).collect())) == loop(rows)
     assert source_memory_fold(df.limit(0)).count() == 0
 
 

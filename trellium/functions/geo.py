@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellium.functions.text import folded, transliterated, fold_term
+from trellium.functions.text import folded, transliterated
 
 EARTH_KM = 6371.0088
 MAX_PLACES = 10_000
@@ -19,27 +17,24 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    """The same distance between two known points, computed once on the driver."""
-    p1, p2, dp, dl = math.radians(lat1), math.radians(lat2), math.radians(lat2 - lat1), math.radians(lon2 - lon1)
-    a = math.sin(dp / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(dl / 2) ** 2
-    return 2 * EARTH_KM * math.atan2(math.sqrt(a), math.sqrt(1 - a))
-
-
-def load_places(gazetteer: DataFrame, place: str = "place", lat: str = "lat", lon: str = "lon") -> list[tuple[str, float, float]]:
-    rows = gazetteer.select(place, lat, lon).limit(MAX_PLACES + 1).collect()
-    if len(rows) > MAX_PLACES:
-        raise ValueError(f"at most {MAX_PLACES} places")
-    return sorted((r[0], r[1], r[2]) for r in rows)
+def _words(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "))
 
 
-def place_distances(text: Column, places: list[tuple[str, float, float]], lat: float, lon: float) -> Column:
-    """array<struct<distance_km, place>> of the places named in a text, nearest to the centre first.
+def named_places(texts: DataFrame, text: str, gazetteer: DataFrame, lat: float, lon: float, place: str = "place") -> DataFrame:
+    """``text, place, distance_km`` for every place that a distinct text names, with its distance to a centre.
 
-    A place must stand as words of its own, in its own spelling or with umlauts written out.
+    A place must stand as words of its own, in its own spelling or with umlauts
+    written out. The gazetteer (``place, lat, lon``) is refused beyond its
+    bound; its names meet a text's words by their first word in a broadcast
+    join, and only then the whole name is looked for.
     """
-    hay = F.concat(F.lit(" "), F.regexp_replace(F.concat(folded(text), F.lit(" | "), transliterated(text)), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    words = lambda p, u: " " + " ".join("".join(c if c.isalnum() or c == "_" else " " for c in fold_term(p, u)).split()) + " "
-    table = F.array(*[F.struct(F.lit(_km(lat, lon, b, c)).alias("distance_km"), F.lit(a).alias("place"), F.lit(words(a, False)).alias("w"), F.lit(words(a, True)).alias("v")) for a, b, c in places])
-    hits = F.transform(F.array(hay), lambda h: F.filter(table, lambda t: h.contains(t["w"]) | h.contains(t["v"])))[0]
-    return F.array_sort(F.transform(hits, lambda t: F.struct(t["distance_km"], t["place"])))
+    if (n := gazetteer.count()) > MAX_PLACES:
+        raise ValueError(f"{n} places, at most {MAX_PLACES}")
+    known = gazetteer.filter(F.col(place).isNotNull()).select(F.col(place).alias("place"), haversine_km(F.lit(float(lat)), F.lit(float(lon)), F.col("lat"), F.col("lon")).alias("distance_km"), F.explode(F.array_distinct(F.array(_words(folded(place)), _words(transliterated(place))))).alias("form"))
+    known = known.filter("form <> ''").withColumn("word", F.element_at(F.split("form", " "), 1))
+    both = F.concat(F.lit(" "), _words(folded("text")), F.lit(" | "), _words(transliterated("text")), F.lit(" "))
+    rows = texts.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct().select("text", both.alias("hay"))
+    words = rows.select("text", "hay", F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("word"))
+    met = words.join(F.broadcast(known), "word").filter(F.contains("hay", F.concat(F.lit(" "), "form", F.lit(" "))))
+    return met.select(F.col("text").alias(text), "place", "distance_km").distinct()

@@ -2,7 +2,7 @@
 
 A step of the fold is x -> clamp(x + d). Such functions are closed under
 composition: a run of steps is again x -> min(hi, max(lo, x + d)). So the fold is
-cut into chunks of time, each chunk becomes one function, and a key's functions
+cut into chunks of time with a bounded number of events, each chunk becomes one function, and a key's functions
 are composed in order; no task holds all events of a key. Scores are kept as
 whole hundredths, which makes the result independent of the cuts.
 """
@@ -34,15 +34,39 @@ class MemoryRules:
     streak_from: int = 4
 
 
-def with_streak(events: DataFrame, key: str, order: list[str], reset: Column, chunk: Column, start: DataFrame | None = None) -> DataFrame:
-    """``events`` with ``streak``: rows since the key's last reset, 0 on a reset.
+UNITS = ["month", "day", "hour", "minute", "second"]
+CHUNK_ROWS, MAX_LARGE = 200_000, 10_000
+
+
+def with_chunks(events: DataFrame, key: str, at: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``events`` with ``_chunk``, the start of a span of time of its key that holds no more than ``chunk_rows`` rows.
+
+    Spans are months; those with more rows are cut into days, then hours,
+    minutes and seconds. The limit rises to a ten thousandth of all rows, so
+    that the spans to be cut are few and their list is broadcast.
+    """
+    e = events.withColumn("_chunk", F.date_trunc(UNITS[0], at))
+    for unit in UNITS[1:]:
+        sizes = e.groupBy(key, "_chunk").agg(F.count("*").alias("_rows"))
+        large = sizes.filter(F.col("_rows") > chunk_rows)
+        n = large.count()
+        if not n:
+            break
+        if n > MAX_LARGE:
+            large = sizes.filter(F.col("_rows") > max(chunk_rows, sizes.agg(F.sum("_rows")).head()[0] // MAX_LARGE))
+        e = e.join(F.broadcast(large.withColumnRenamed("_rows", "_large")), [key, "_chunk"], "left").withColumn("_chunk", F.when(F.col("_large").isNotNull(), F.date_trunc(unit, at)).otherwise(F.col("_chunk"))).drop("_large")
+    return e
+
+
+def with_streak(events: DataFrame, key: str, order: list[str], reset: Column, start: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``events`` with ``streak``: rows since the key's last reset, 0 on a reset; ``order`` begins with the time.
 
     ``start`` (key, ``start_streak``) is what each key had before; 0 without it.
 
-    Chunks must follow the order. Within one the streak is a window; across
-    them a window over one row per chunk carries it on.
+    Within a chunk of bounded rows the streak is a window; across chunks a
+    window over one row for each carries it on.
     """
-    e = events.withColumn("_chunk", chunk).withColumn("_reset", reset.cast("int"))
+    e = with_chunks(events, key, order[0], chunk_rows).withColumn("_reset", reset.cast("int"))
     inside = Window.partitionBy(key, "_chunk").orderBy(*order)
     e = e.withColumn("_island", F.sum("_reset").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     since = F.row_number().over(Window.partitionBy(key, "_chunk", "_island").orderBy(*order)) - F.when(F.col("_island") > 0, 1).otherwise(0)
@@ -79,19 +103,21 @@ def _composed(steps: Column) -> Column:
     return F.aggregate(F.slice(steps, 2, F.size(steps)), fn(F.element_at(steps, 1)), lambda acc, s: _compose(acc, fn(s)))
 
 
-def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), chunk: str = "day", start: DataFrame | None = None) -> DataFrame:
+def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), start: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per source from ``source_key, ts, id, status, jobs, high_fit, quality``.
 
     ``start`` is an earlier result to go on from; sources that have no new
     events keep their row.
 
     Rewards and penalties are added step by step in the order of (ts, id), the
-    score is clamped after every step. Rows without a source key are left out,
-    NULL counts are 0. ``chunk`` is the unit of time at which folds are cut.
+    score is clamped after every step. Jobs and high fits count whatever the
+    status. Rows without a source key are left out, NULL counts are 0. Folds are
+    cut into chunks of no more than ``chunk_rows`` events; the result is the
+    same however they are cut.
     """
     e = events.filter("source_key is not null").select("source_key", "ts", "id", "status", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("jobs", "high_fit", "quality")])
     ok, blocked = F.col("status") == "ok", F.col("status") == "blocked_by_robots"
-    e = with_streak(e, "source_key", ["ts", "id"], ok & (F.col("jobs") > 0), F.date_trunc(chunk, "ts"), start.select("source_key", F.col("no_job_streak").alias("start_streak")) if start is not None else None)
+    e = with_streak(e, "source_key", ["ts", "id"], ok & (F.col("jobs") > 0), start.select("source_key", F.col("no_job_streak").alias("start_streak")) if start is not None else None, chunk_rows)
     quality = _clamped(F.col("quality"), F.lit(0), F.lit(100))
     idle = F.when(F.col("jobs") > 0, 0).otherwise(rules.no_job + F.when(F.col("streak") >= rules.streak_from, rules.no_job).otherwise(0))
     reward = rules.per_job * F.col("jobs") + rules.per_high_fit * F.col("high_fit") + rules.quality_weight * quality + idle + F.when(F.col("quality") <= rules.bad_quality_at, rules.bad_quality).otherwise(0)
@@ -101,8 +127,8 @@ def source_memory_fold(events: DataFrame, rules: MemoryRules = MemoryRules(), ch
     per_chunk = e.groupBy("source_key", "_chunk").agg(
         F.array_sort(F.collect_list(F.struct("ts", "id", d.alias("d"), *bounds))).alias("steps"),
         F.count("*").alias("visits"),
-        F.sum(F.when(ok, F.col("jobs")).otherwise(0)).alias("jobs_found"),
-        F.sum(F.when(ok, F.col("high_fit")).otherwise(0)).alias("high_fit_jobs"),
+        F.sum("jobs").alias("jobs_found"),
+        F.sum("high_fit").alias("high_fit_jobs"),
         F.count_if(~ok & ~blocked).alias("errors"),
         F.count_if(blocked).alias("blocked"),
         F.max_by(F.struct("streak", quality.alias("quality")), last).alias("last"),

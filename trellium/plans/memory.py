@@ -35,7 +35,7 @@ def source_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, d: str) -> DataFrame:
-    return source_memory_fold(source_events(spark, d), chunk="month")
+    return source_memory_fold(source_events(spark, d))
 
 
 def memory_decay(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def weak_sources(spark: SparkSession, d: str) -> DataFrame:
 def page_streaks(spark: SparkSession, d: str) -> DataFrame:
     """Pages without jobs in a row, per source and in order of visits."""
     pages = table(spark, d, "pages").filter("source_key is not null").select("page_id", "source_key", "visited_at", "jobs_found")
-    return with_streak(pages, "source_key", ["visited_at", "page_id"], F.coalesce(F.col("jobs_found"), F.lit(0)) > 0, F.date_trunc("month", "visited_at")).select("page_id", "source_key", "streak")
+    return with_streak(pages, "source_key", ["visited_at", "page_id"], F.coalesce(F.col("jobs_found"), F.lit(0)) > 0).select("page_id", "source_key", "streak")
 
 
 def memory_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ WITH v AS (
     CAST(floor(value) AS BIGINT) % 101 AS quality FROM events WHERE user_id IS NOT NULL),
 l AS (
   SELECT source_key, list({'status': status, 'jobs': CAST(jobs AS BIGINT), 'high': CAST(high_fit AS BIGINT), 'q': quality, 'score': CAST(0 AS BIGINT), 'streak': CAST(0 AS BIGINT)} ORDER BY ts, id) AS steps,
-    count(*) AS visits, CAST(sum(CASE WHEN status = 'ok' THEN jobs ELSE 0 END) AS BIGINT) AS jobs_found, CAST(sum(CASE WHEN status = 'ok' THEN high_fit ELSE 0 END) AS BIGINT) AS high_fit_jobs,
+    count(*) AS visits, CAST(sum(jobs) AS BIGINT) AS jobs_found, CAST(sum(high_fit) AS BIGINT) AS high_fit_jobs,
     count(*) FILTER (WHERE status LIKE 'error%') AS errors, count(*) FILTER (WHERE status = 'blocked_by_robots') AS blocked FROM v GROUP BY 1),
 f AS (
   SELECT *, list_reduce(steps, lambda a, x: {'status': x.status, 'jobs': x.jobs, 'high': x.high, 'q': x.q,

@@ -8,9 +8,8 @@ from pyspark.sql.window import Window
 
 from trellium.functions import text as T
 from trellium.functions.decode import json_object, page_decision
-from trellium.functions.geo import haversine_km, load_places, place_distances
+from trellium.functions.geo import haversine_km, named_places
 from trellium.functions.urls import career_urls, root_url, url_path
-from trellium.operators.keyed import computed
 from trellium.plans.sqlgen import part_sql
 from trellium.plans.tables import table
 
@@ -68,10 +67,9 @@ def haversine(spark, d):
 
 def nearest_city(spark, d):
     """Places named in each distinct location: the nearest to the centre, and how many lie inside the radius."""
-    places = load_places(table(spark, d, "gazetteer"))
-    rows = table(spark, d, "jobs").select("location").filter("location is not null").distinct()
-    hits = computed(rows, "h", place_distances(F.col("location"), places, *CENTRE)).filter(F.size("h") > 0)
-    return hits.select("location", F.col("h")[0]["place"].alias("place"), F.round(F.col("h")[0]["distance_km"], 6).alias("km"), F.size("h").cast("bigint").alias("n_places"), F.size(F.filter("h", lambda t: t["distance_km"] <= RADIUS_KM)).cast("bigint").alias("n_inside"))
+    met = named_places(table(spark, d, "jobs").select("location"), "location", table(spark, d, "gazetteer"), *CENTRE)
+    near = met.groupBy("location").agg(F.min(F.struct("distance_km", "place")).alias("n"), F.count("*").alias("n_places"), F.count_if(F.col("distance_km") <= RADIUS_KM).alias("n_inside"))
+    return near.select("location", "n.place", F.round("n.distance_km", 6).alias("km"), "n_places", "n_inside")
 
 
 def _replies(spark, d) -> DataFrame:
