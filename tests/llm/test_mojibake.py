@@ -39,6 +39,25 @@ def test_twice_garbled_and_lost():
     assert examine("einf�hren")[0]
 
 
+@pytest.mark.parametrize("times", [3, 4, 5, 6])
+@pytest.mark.parametrize("assumed", ["cp1252", "latin-1"])
+def test_garbled_many_times(times, assumed):
+    text = "Wir prüfen größere Stücklisten"
+    bad = text
+    for _ in range(times):
+        bad = "".join(bytes([b]).decode(assumed, "ignore") or chr(b) for b in bad.encode())
+    assert examine(bad) == (True, text)
+
+
+def test_restoring_reads_each_text_once(spark, tmp_path):
+    from trellium.llm.problems.p10 import p10_restored
+
+    spark.createDataFrame([(1, "cafÃ©")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = p10_restored(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, "café")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_columns(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "cafÃ©", "x"), (4, "café", "x"), (5, ("Prüfstände " * 30_000) + "cafÃ©", "x"), (6, "cafÃ©", "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, garbled string")

@@ -32,7 +32,10 @@ SMALL_WORDS = {
 #: Encodings that a reader may wrongly assume, and those that a text may really have.
 ASSUMED = ["cp1252", "latin-1", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "iso8859-15"]
 ACTUAL = ["utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852"]
+#: Conversions from one one-byte encoding to another: the most in a row, and the most states of a word reached by one that are
+#: gone on from. Steps that join bytes to characters or unescape shorten the text and are followed however many there are.
 MAX_STATES, MAX_DEPTH = 48, 3
+_SHORTENING = ("utf-8", "unescape")
 FOREIGN = 2.5
 DETOUR = 3.0  # a state may cost so much more than the start and still lead on
 #: Cost that a repair must save in one word, for a change of letters and for bytes that join to UTF-8 characters; and in a whole text.
@@ -188,18 +191,20 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
     best, best_cost, best_ops = word, start, ""
     queue: list[tuple[float, int, int, str, str, float]] = [(start, 0, 0, word, "", 0.0)]
     visited = {word}
-    popped = pushed = 0
-    while queue and popped < MAX_STATES:
+    sideways = pushed = 0
+    while queue:
         cost, depth, _, state, ops, spent = heapq.heappop(queue)
-        popped += 1
         if cost < best_cost - 0.25:
             best, best_cost, best_ops = state, cost, ops
             if cost <= 0.5:
                 break
-        if depth == MAX_DEPTH or (depth and cost > start + DETOUR):
+        if ops and cost > start + DETOUR:
             continue
+        if ops and not ops.endswith(_SHORTENING):
+            sideways += 1
+        further = depth < MAX_DEPTH and sideways < MAX_STATES
         for op, t in neighbours(state):
-            if t in visited:
+            if t in visited or not (further or op.endswith(_SHORTENING)):
                 continue
             visited.add(t)
             pushed += 1
@@ -207,7 +212,7 @@ def restore_word(word: str, languages: frozenset[str]) -> tuple[str, float, str]
             step = spent + (0.25 if op.endswith("utf-8") else 2.0)
             if not op.endswith("utf-8") and sum(map(str.isalpha, t)) < sum(map(str.isalpha, state)):
                 step += 0.25  # letters rather stay letters
-            heapq.heappush(queue, (text_cost(t, languages) + step, depth + 1, pushed, t, f"{ops} {op}".strip(), step))
+            heapq.heappush(queue, (text_cost(t, languages) + step, depth + (not op.endswith(_SHORTENING)), pushed, t, f"{ops} {op}".strip(), step))
     return (best, start - best_cost, best_ops) if best != word else (word, 0.0, "")
 
 

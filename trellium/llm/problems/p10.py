@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.llm.mojibake import examined, is_garbled
+from trellium.operators.keyed import computed
 from trellium.plans.tables import table
 
 
@@ -14,7 +15,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", examined(F.col("text")).alias("x"))
+    docs = computed(table(spark, d, "documents").select("doc_id", "text"), "x", examined(F.col("text")))
     return docs.filter("x.garbled").select("doc_id", "x.restored")
 
 
