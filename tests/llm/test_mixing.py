@@ -5,11 +5,14 @@ from trellium.llm.mixing import mix, plan_quotas, splitting_tree
 DOCS, TARGETS = "id bigint, source string, size bigint, pass int, quota string", "source string, share double, repeats int"
 
 
-def test_tree_uses_up_every_quota():
+def test_tree_uses_up_every_quota(spark):
     quotas = [0, 1, 50, 1000]
-    dealt = splitting_tree(quotas, 7, 3)
-    assert dealt.sum(axis=0).tolist() == quotas and (dealt >= 0).all()
-    assert (splitting_tree(quotas, 7, 3) == dealt).all()
+    tree = lambda levels: sorted((r.shard, tuple(r.counts), tuple(r["first"])) for r in splitting_tree(spark, quotas, 7, 3, levels).collect())
+    rows = tree(10)
+    dealt, first = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert [r[0] for r in rows] == list(range(7)) and dealt.sum(axis=0).tolist() == quotas and (dealt >= 0).all()
+    assert (first == np.cumsum(dealt, axis=0) - dealt).all()
+    assert tree(1) == tree(2) == rows  # however many rounds it takes
     assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
 
 
@@ -35,6 +38,9 @@ def test_mixture(spark):
     assert m.groupby("shard").position.apply(lambda p: sorted(p) == list(range(1, len(p) + 1))).all() and m.shard.nunique() > 1
     again = mix(docs.repartition(3), goal, block_tokens=100, shard_tokens=1500)[0].toPandas()
     key = ["shard", "position", "id", "pass"]
+    # a total beyond what the scarce source can serve: it ends at its repeats, the others keep their part of the total
+    more = {x.source: x for x in mix(docs, goal, total=0.9, block_tokens=100, shard_tokens=1500)[1].collect()}
+    assert more["small"].passes == 3 and more["small"].actual_share < 0.15 and more["big"].tokens > s["big"].tokens
     assert sorted(map(tuple, again[key].values.tolist())) == sorted(map(tuple, m[key].values.tolist()))
 
 

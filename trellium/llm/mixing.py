@@ -4,16 +4,17 @@ Every source is put into a random order by a hash, passed over as often as its
 quota needs, and cut into blocks of equal token number. A splitting tree deals
 the blocks to output shards: at each node the block counts of all sources are
 split by a multivariate hypergeometric draw, so each source's quota is used up
-exactly. Within a shard the documents are shuffled again.
+exactly. The tree is a table that grows downwards. Within a shard the documents are shuffled again.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,34 +23,51 @@ from trellium.session import cut
 MAX_SOURCES = 10_000
 DOCS_PER_BUCKET = 5_000
 CLOSING_DOCS = 3
+MOST_BLOCKS = 900_000_000  # the generator draws exactly from fewer than 10^9; blocks grow so that there are no more
+LEVELS = 10  # levels of the tree that a task grows from one node
 
 
-def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks per shard and source (shards x sources); the columns sum to the quotas."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    stack = [(0, shards, np.asarray(quotas, dtype=np.int64))]
-    while stack:
-        a, b, counts = stack.pop()
-        if b - a == 1:
-            out[a] = counts
+def grown(a: int, b: int, counts: np.ndarray, first: np.ndarray, seed: int, levels: int = LEVELS) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The nodes ``levels`` below a node of the splitting tree, or its leaves where those are nearer.
+
+    A node is (first shard, end shard, blocks of each source, first block of
+    each source). Its draw depends on the seed and its shards alone.
+    """
+    out, nodes = [], [(a, b, counts, first, levels)]
+    while nodes:
+        a, b, counts, first, left = nodes.pop()
+        if b - a == 1 or not left:
+            out.append((a, b, counts, first))
             continue
         mid = (a + b) // 2
         take = int(counts.sum()) * (mid - a) // (b - a)
-        rng = np.random.default_rng([seed, a, b])  # a node's draw does not depend on the others
-        left = _hypergeometric(rng, counts, take)
-        stack.append((a, mid, left))
-        stack.append((mid, b, counts - left))
+        rng = np.random.default_rng([seed, a, b])
+        one = rng.multivariate_hypergeometric(counts, take, method="marginals")
+        nodes += [(mid, b, counts - one, first + one, left - 1), (a, mid, one, first, left - 1)]
     return out
 
 
-def _hypergeometric(rng, counts: np.ndarray, take: int) -> np.ndarray:
-    if counts.sum() < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    share = counts * (take / counts.sum())  # beyond the generator's range: rounded shares, largest rests first
-    left = np.floor(share).astype(np.int64)
-    for i in np.argsort(left - share)[: take - int(left.sum())]:
-        left[i] += 1
-    return left
+def splitting_tree(spark: SparkSession, quotas: list[int], shards: int, seed: int, levels: int = LEVELS) -> DataFrame:
+    """``shard, counts, first``: blocks of every source that each shard gets, and the number of the first of them.
+
+    A table from the root down: every round grows each node by ``levels``, so
+    the tree of any number of shards is never held in one place.
+    """
+    nodes = spark.createDataFrame([(0, shards, [int(q) for q in quotas], [0] * len(quotas))], "a bigint, b bigint, counts array<bigint>, first array<bigint>")
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, counts, first in pdf.itertuples(index=False):
+                rows = grown(int(a), int(b), np.asarray(counts, dtype=np.int64), np.asarray(first, dtype=np.int64), seed, levels)
+                yield pd.DataFrame(rows, columns=["a", "b", "counts", "first"])
+
+    depth = 0
+    while (1 << depth) < shards:
+        nodes = cut(nodes.mapInPandas(grow, nodes.schema), "mix-tree")
+        depth += levels
+        if (1 << depth) < shards:
+            nodes = nodes.repartition(F.col("a"))
+    return nodes.select(F.col("a").alias("shard"), "counts", "first")
 
 
 def plan_quotas(have: dict[str, int], targets: list[tuple[str, float, int]], total: int | None) -> tuple[dict[str, int], dict[str, float]]:
@@ -69,9 +87,12 @@ def plan_quotas(have: dict[str, int], targets: list[tuple[str, float, int]], tot
     return {s: int(min(have[s] * able[s][1], math.floor(aimed[s] * size))) for s in able}, aimed
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = 2_000, shard_tokens: int = 500_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total: int | float | None = None, block_tokens: int = 2_000, shard_tokens: int = 500_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) of ``docs`` (``id``, ``source``, ``size``) by ``targets`` (``source``, ``share``, ``repeats``).
 
+    ``total`` is the size aimed at in tokens, a fraction of what all target
+    sources hold if it is a float, or as much as the shares allow without it.
+
     The mixture has ``shard, position, id, source, pass, size``: no document
     occurs more often than its source's repeats, passes count from 0, and the
     last pass of a source ends before the document that would exceed the quota;
@@ -92,14 +113,23 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block_tok
     # sizes may come from a Python function: written once before anything filters on them
     base = cut(base.withColumn("h", F.xxhash64("id", F.lit(seed))), "mix-docs").filter("size > 0")
     sizes = {r[0]: (int(r[1]), int(r[2])) for r in base.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}
+    if isinstance(total, float):
+        total = int(total * sum(t for t, _ in sizes.values()))
     quotas, aimed = plan_quotas({s: t for s, (t, _) in sizes.items()}, wanted, total)
-    order = sorted(quotas)
-    blocks = [max(1, -(-quotas[s] // block_tokens)) if quotas[s] > 0 else 0 for s in order]
-    shards = max(1, -(-sum(quotas.values()) // shard_tokens))
-    dealt = splitting_tree(blocks, shards, seed) if order else np.zeros((1, 0), dtype=np.int64)
-    ends = {s: np.cumsum(dealt[:, i]) for i, s in enumerate(order)}  # shards x sources numbers
-
-    plan = [(s, quotas[s], sizes[s][0], -(-quotas[s] // sizes[s][0]), max(1, -(-sizes[s][1] // DOCS_PER_BUCKET))) for s in order if quotas[s] > 0]
+    order = [s for s in sorted(quotas) if quotas[s] > 0]
+    whole = sum(quotas.values())
+    block_tokens = max(block_tokens, -(-whole // MOST_BLOCKS))
+    blocks = [-(-quotas[s] // block_tokens) for s in order]
+    shards = max(1, -(-whole // max(shard_tokens, block_tokens)))
+    # ranges of blocks meet their documents by cells about as wide as a shard's average range
+    width = {s: max(1, n // shards) for s, n in zip(order, blocks)}
+    ranges = splitting_tree(spark, blocks, shards, seed).select("shard", F.posexplode(F.arrays_zip("counts", "first")).alias("i", "r")).filter("r.counts > 0")
+    named = spark.createDataFrame([(i, s, width[s]) for i, s in enumerate(order)], "i int, source string, width bigint")
+    ranges = ranges.join(F.broadcast(named), "i").select("source", "shard", F.col("r.first").alias("from_block"), (F.col("r.first") + F.col("r.counts")).alias("to_block"), "width")
+    cell = lambda c: F.floor(c / F.col("width")).cast("bigint")
+    ranges = ranges.select("source", "shard", "from_block", "to_block", F.explode(F.sequence(cell(F.col("from_block")), cell(F.col("to_block") - 1))).alias("cell"))
+
+    plan = [(s, quotas[s], sizes[s][0], -(-quotas[s] // sizes[s][0]), max(1, -(-sizes[s][1] // DOCS_PER_BUCKET))) for s in order]
     known = spark.createDataFrame(plan, "source string, quota bigint, have bigint, passes bigint, buckets bigint")
     drawn = base.join(F.broadcast(known), "source").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
     # a pass permutes anew; a bucket is a slice of the permutation small enough for one task
@@ -134,15 +164,10 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block_tok
     closing = spark.createDataFrame([(i, s, -(-quotas[s] // sizes[s][0]) - 1, n, at, max(0, quotas[s] - 1)) for s, i, n, at in taken], "id bigint, source string, pass bigint, size bigint, at bigint, offset bigint")
     used = used.unionByName(closing)
 
-    @F.pandas_udf("bigint")
-    def shard_of(source: pd.Series, offset: pd.Series) -> pd.Series:
-        out = np.zeros(len(source), dtype=np.int64)
-        for s, at in source.groupby(source).indices.items():
-            block = np.minimum(offset.to_numpy()[at] // block_tokens, ends[s][-1] - 1)
-            out[at] = np.searchsorted(ends[s], block, side="right")
-        return pd.Series(out)
-
-    used = cut(used.select(shard_of("source", "offset").alias("shard"), "id", "source", "pass", "size", F.xxhash64("at", F.lit(seed + 1)).alias("r")), "mix-used")
+    last = spark.createDataFrame([(s, n - 1, width[s]) for s, n in zip(order, blocks)], "source string, last_block bigint, width bigint")
+    used = used.join(F.broadcast(last), "source").withColumn("block", F.least(F.floor(F.col("offset") / block_tokens).cast("bigint"), "last_block")).withColumn("cell", cell(F.col("block")))
+    used = used.join(ranges, ["source", "cell"]).filter("block >= from_block and block < to_block")
+    used = cut(used.select("shard", "id", "source", "pass", "size", F.xxhash64("at", F.lit(seed + 1)).alias("r")), "mix-used")
     mixture = used.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy("r", "id", "pass")).cast("bigint")).select("shard", "position", "id", "source", "pass", "size")
     reached = used.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n_docs"), (F.max("pass") + 1).alias("passes"))
     all_tokens = used.agg(F.sum("size").alias("all_tokens"))

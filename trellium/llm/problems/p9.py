@@ -10,10 +10,14 @@ from trellium.llm.tokens import token_count
 from trellium.plans.tables import table
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+#: Share of all tokens of the target sources that the second mixture aims at: more than its scarce sources can serve.
+TOTAL = 0.8
+
+
+def _mixed(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets").select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
     docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    return mix(docs.select(F.col("doc_id").alias("id"), "source", token_count(F.col("text")).alias("size")), targets)
+    return mix(docs.select(F.col("doc_id").alias("id"), "source", token_count(F.col("text")).alias("size")), targets, total)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -24,8 +28,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_total(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of four fifths of all tokens: sources at their most repeats fall short of their share."""
+    return _mixed(spark, d, TOTAL)[0].withColumnsRenamed({"id": "doc_id", "size": "n_tokens"})
+
+
+def p9_total_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, TOTAL)[1]
+
+
 def queries():
-    return {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+    return {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_total": p9_total, "p9_total_shares": p9_total_shares}
 
 
 def sql():
