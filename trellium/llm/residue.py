@@ -30,7 +30,7 @@ ERROR_PHRASES = {
         "too many requests", "rate limit exceeded", "rate limited", "service unavailable", "service temporarily unavailable", "temporarily unavailable", "internal server error", "server error",
         "application error", "runtime error", "fatal error", "parse error", "syntax error", "unexpected error", "an error occurred", "an error has occurred", "something went wrong", "oops", "whoops",
         "unhandled exception", "exception", "stack trace", "database error", "database connection failed", "error establishing a database connection", "connection failed", "connection refused",
-        "request failed", "failed with §", "request", "this site can't be reached", "this site cant be reached", "site can't be reached", "this page isn't working", "your connection is not private",
+        "request failed", "failed with §", "this site can't be reached", "this site cant be reached", "site can't be reached", "this page isn't working", "your connection is not private",
         "dns resolution error", "web server is down", "origin is unreachable", "host error", "session expired", "your session has expired", "session timed out", "we'll be right back", "we will be right back",
         "be right back", "under maintenance", "site under maintenance", "scheduled maintenance", "maintenance mode", "down for maintenance", "site offline", "website offline",
         "just a moment", "one moment please", "checking your browser", "attention required", "security check", "are you a robot", "are you human", "verify you are human", "verifying you are human",
@@ -38,7 +38,7 @@ ERROR_PHRASES = {
     ],
     "de": [
         "fehler §", "fehlercode §", "fehler", "fehlerseite", "serverfehler", "interner serverfehler", "datenbankfehler", "anwendungsfehler", "ein fehler ist aufgetreten", "es ist ein fehler aufgetreten",
-        "unerwarteter fehler", "vorgang", "seite nicht gefunden", "seite wurde nicht gefunden", "die seite wurde nicht gefunden", "seite existiert nicht", "die angeforderte seite existiert nicht",
+        "unerwarteter fehler", "seite nicht gefunden", "seite wurde nicht gefunden", "die seite wurde nicht gefunden", "seite existiert nicht", "die angeforderte seite existiert nicht",
         "die angeforderte seite wurde nicht gefunden", "diese seite existiert nicht", "seite nicht verfügbar", "diese seite ist nicht verfügbar", "nicht gefunden", "zugriff verweigert", "zugriff nicht möglich", "zugriff gesperrt",
         "zugriff nicht erlaubt", "kein zugriff", "anfrage blockiert", "anfrage fehlgeschlagen", "anfrage abgelehnt", "verbindung fehlgeschlagen", "zeitüberschreitung", "zu viele anfragen", "dienst nicht verfügbar",
         "dienst vorübergehend nicht verfügbar", "vorübergehend nicht erreichbar", "ihre sitzung ist abgelaufen", "sitzung abgelaufen", "wartungsarbeiten", "wartungsmodus", "wegen wartung geschlossen", "bot-prüfung läuft",
@@ -78,15 +78,15 @@ FILLER_PHRASES = {
     ],
     "en": [
         "untitled", "untitled document", "untitled page", "no title", "title", "page title", "your title here", "your title goes here", "title goes here", "insert title here", "enter title here", "document title", "new page", "new document", "sample page",
-        "sample post", "sample job", "example page", "example domain", "default page", "default web site page", "default title", "placeholder", "placeholder text", "placeholder title", "dummy text", "dummy title", "dummy page", "dummy job please delete", "job title", "job title here", "coming soon", "under construction",
+        "sample post", "sample job", "example page", "example domain", "default page", "default web site page", "default title", "placeholder", "placeholder text", "placeholder title", "dummy text", "dummy title", "dummy page", "job title", "job title here", "coming soon", "under construction",
         "site under construction", "website coming soon", "welcome to nginx", "apache2 ubuntu default page", "it works", "it works!", "test page for the apache http server", "index of", "directory listing", "domain for sale", "this domain is parked", "parked domain", "hello world", "headline", "heading", "heading 1", "welcome to your new website",
         "my site", "my website", "wordpress site", "just another wordpress site", "home page title", "do not publish", "please delete", "please replace",
     ],
     "de": [
         "titel", "titel hier eingeben", "titel hier einfügen", "titel eingeben", "titel einfügen", "hier titel eingeben", "seitentitel", "stellentitel", "stellentitel einfügen", "stellentitel eingeben", "jobtitel", "jobtitel eingeben", "jobtitel hier einfügen", "kein titel", "ohne titel", "unbenannt", "unbenanntes dokument", "unbenannte seite",
-        "neue seite", "neues dokument", "überschrift", "überschrift hier", "beispielseite", "beispieltext", "beispieltitel", "musterseite", "mustertext", "mustertitel", "musteranzeige", "muster-stellenanzeige", "musterstellenanzeige", "bitte ersetzen", "bitte löschen", "bitte ausfüllen", "dummy-stelle", "dummy-stelle bitte löschen", "dummy-text", "dummytext",
+        "neue seite", "neues dokument", "überschrift", "überschrift hier", "beispielseite", "beispieltext", "beispieltitel", "musterseite", "mustertext", "mustertitel", "musteranzeige", "muster-stellenanzeige", "musterstellenanzeige", "bitte ersetzen", "bitte löschen", "bitte ausfüllen", "dummy-stelle", "dummy-text", "dummytext",
         "blindtext", "blindtext überschrift", "platzhalter", "platzhaltertext", "platzhaltertitel", "teststelle", "testanzeige", "test bitte ignorieren", "hier entsteht eine neue webseite", "hier entsteht eine neue website", "hier entsteht in kürze eine neue internetpräsenz", "hier entsteht", "demnächst verfügbar", "in kürze verfügbar", "im aufbau", "seite im aufbau",
-        "diese seite befindet sich im aufbau", "es klappt! ihr server läuft", "es klappt", "ihr server läuft", "domain zu verkaufen", "<firmenname> sucht <position>",
+        "diese seite befindet sich im aufbau", "es klappt! ihr server läuft", "es klappt", "ihr server läuft", "domain zu verkaufen",
     ],
     "fr": ["sans titre", "document sans titre", "page sans titre", "titre", "titre de la page", "votre titre ici", "insérez le titre ici", "page d'exemple", "exemple de page", "page par défaut", "texte de remplissage", "en construction", "bientôt disponible", "nouvelle page"],
     "es": ["sin título", "documento sin título", "título", "título de la página", "tu título aquí", "su título aquí", "página de ejemplo", "página de muestra", "página por defecto", "texto de relleno", "en construcción", "próximamente", "nueva página"],
@@ -100,7 +100,7 @@ FIELD_NAMES = [
     "title", "titel", "titre", "título", "unternehmen", "überschrift", "berufsbezeichnung", "seo", "id", "nr", "beruf", "rolle", "role", "department", "abteilung", "platzhalter", "placeholder", "variable", "value", "wert", "text",
 ]
 #: Words that a message may have beside its phrases without being content.
-LIGHT_WORDS = ["vorgang", "id", "ref", "nr", "code", "mit", "with", "the", "and", "und", "oder", "or", "bitte", "please", "any", "in"]
+LIGHT_WORDS = ["vorgang", "request", "id", "ref", "nr", "code", "mit", "with", "the", "and", "und", "oder", "or", "bitte", "please", "any", "in"]
 
 _NAME = r"[^\W\d]\w*(?:[.\-]\w+)*"
 _STRONG = {
