@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import trellium.llm.openings as O
-from trellium.llm.openings import letter_bits, letter_code, letter_codes, linked_texts, near_codes, opening_groups, same_openings, title_links, title_words, trie_pairs
+import trellium.llm.trie as trie
+from trellium.llm.openings import linked_texts, opening_groups, same_openings, title_links, title_words
+from trellium.llm.trie import letter_bits, letter_code, letter_codes, near_codes, trie_pairs
 from trellium.llm.variants import components
 
 ENTRIES = [(1, "Kreuzfelden", "Crossfields"), (2, "Mühldorfen", None)]
@@ -16,7 +18,7 @@ EVEN = [(c, k) for k in range(1, 4) for c in range(26)][:64]
 
 @pytest.mark.parametrize("front", [1 << 20, 50])
 def test_trie_against_all_pairs(monkeypatch, front):
-    monkeypatch.setattr(O, "FRONT", front)
+    monkeypatch.setattr(trie, "FRONT", front)
     r = np.random.default_rng(2)
     near = r.integers(0, 2**63, 40, dtype=np.uint64)
     codes = np.sort(np.concatenate([near, near ^ np.uint64(1 << 63), near ^ np.uint64(5), r.integers(0, 2**63, 400, dtype=np.uint64), near[:3]]))
@@ -33,12 +35,12 @@ def test_trie_prunes_titles(sf):
     """Of all pairs of the titles' codes one in fifty is compared, and none within two edits is lost."""
     titles = duckdb.sql(f"select distinct title from '{sf.replace('0.001', '0.1')}/jobs.parquet' where title is not null").fetchall()
     texts = sorted({" ".join(title_words(t)) for (t,) in titles} - {""})
-    counts = O.letter_counts(texts)
+    counts = trie.letter_counts(texts)
     even = sorted(((abs((counts[:, c] >= k).mean() - 0.5), c, k) for c in range(26) for k in range(1, 9)))[:64]
     codes = letter_codes(texts, [(c, k) for _, c, k in even])
     order = np.argsort(codes, kind="stable")
     counted = {}
-    i, j = trie_pairs(codes[order], np.array([0]), np.array([len(codes)]), O.BUDGET, counted)
+    i, j = trie_pairs(codes[order], np.array([0]), np.array([len(codes)]), trie.BUDGET, counted)
     assert counted["compared"] < 0.1 * len(texts) ** 2 / 2 and counted["pruned"] > 100_000
     found = {(min(a, b), max(a, b)) for a, b in zip(order[i].tolist(), order[j].tolist())}
     lengths = np.array([len(t) for t in texts])
@@ -73,7 +75,7 @@ def test_hot_blocks_give_the_same_links(spark, monkeypatch):
     assert len(whole) == len(set(whole)) > len(texts) and ("d", "tow", "two") in whole
     near = sorted(tuple(x) for x in near_codes(df).collect())
     for size in (1, 10, 60):  # cut by four, three and one of the code's parts
-        monkeypatch.setattr(O, "HOT_BLOCK", size)
+        monkeypatch.setattr(trie, "HOT_BLOCK", size)
         assert sorted(tuple(x) for x in linked_texts(df).collect()) == whole
         assert sorted(tuple(x) for x in near_codes(df).collect()) == near
 

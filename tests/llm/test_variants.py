@@ -1,21 +1,29 @@
 import random
 
+import pytest
+
+from trellium.llm import variants
 from trellium.llm.companies import read_company
 from trellium.llm.names import osa_within
 from trellium.llm.variants import link_employers, near_names, pairs_within
 
 
-def test_segment_join_against_all_pairs(spark):
+@pytest.mark.parametrize("k,hot", [(1, 2000), (2, 2000), (3, 2000), (1, 5), (2, 20)])
+def test_segment_join_against_all_pairs(spark, monkeypatch, k, hot):
+    """Every pair within k edits is found, of names of one letter up to twenty, also where keys are hot."""
+    monkeypatch.setattr(variants, "HOT_KEY", hot)
     r = random.Random(5)
-    base = ["".join(r.choice("abcd") for _ in range(r.randrange(3, 11))) for _ in range(150)]
-    for w in base[:80]:
-        i = r.randrange(len(w))
-        base += [w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "y" + w[i + 1 :], w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :] if i else w]
+    base = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 21))) for _ in range(120)]
+    for w in base[:90]:
+        for _ in range(k + 1):
+            i = r.randrange(len(w))
+            w = r.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "y" + w[i + 1 :], w[: i - 1] + w[i : i + 1] + w[i - 1 : i] + w[i + 1 :] if i else w]) or "z"
+            base.append(w)
     df = spark.createDataFrame([(w, 1) for w in [*base, None, ""]], "core string, key int")
-    got = {(x.a, x.b, x.distance) for x in near_names(df, "core").collect()}
-    words = sorted({w for w in base if len(w) >= 5})
-    want = {(a, b, osa_within(a, b, 1)) for i, a in enumerate(words) for b in words[i + 1 :] if osa_within(a, b, 1) is not None}
-    assert got == want
+    got = [(x.a, x.b, x.distance) for x in near_names(df, "core", k).collect()]
+    words = sorted({*base, ""})
+    want = {(a, b, osa_within(a, b, k)) for i, a in enumerate(words) for b in words[i + 1 :] if osa_within(a, b, k) is not None}
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_reading_names():

@@ -1,9 +1,10 @@
 """Linking variant spellings of names by a pigeonhole segment join.
 
-A name within k edits of another shares one of k+1 segments with it, moved by a
-few positions at most. The names' segments form an inverted index; each name
-looks up its substrings at the positions that k edits can reach, and banded
-edit distance verifies what was found. Joins run on distinct names only.
+A name within k edits of another shares the inner part of one of its k+1
+segments, moved by a few positions at most. The parts form an inverted index;
+each name looks up its substrings at the positions that k edits can reach, and
+banded edit distance verifies what was found. Names too short for segments are
+looked up by their forms with letters left out. Joins run on distinct names only.
 """
 
 from __future__ import annotations
@@ -17,50 +18,73 @@ from pyspark.sql import types as T
 
 from trellium.llm.companies import read_company
 from trellium.llm.names import osa_within
+from trellium.llm.trie import letter_bits, letter_code, near_codes
+from trellium.operators.keyed import computed
 from trellium.session import cut
 
-MIN_LENGTH = 5  # shorter names are linked only when equal
+MIN_LENGTH = 5  # letters from which a name may be a misspelling of another
 MIN_STEM = 5  # least letters of a name that was cut short
 CUT_LETTERS = (2, 3, 4)  # letters of the syllable that people leave off
 ROUNDS = 16
 TREES_SETTLE = 4  # rounds after which cycles are looked for
+HOT_KEY = 2_000  # names that share a key from which they are joined by the trie instead of pair by pair
+MAX_HOT_KEYS = 10_000  # the threshold rises with the table, so that no more keys can be beyond it
 
 
-def _segments(length: int, k: int) -> list[tuple[int, int]]:
-    """(start, size) of the k+1 segments of a name; the later ones take the rest."""
+def _cores(length: int, k: int) -> list[tuple[int, int]]:
+    """(start, size) of the inner parts of the k+1 segments of a name, without the letters beside a limit between segments.
+
+    An edit, a swap of neighbours across a limit included, reaches one of them at most.
+    """
     size, rest, at, out = length // (k + 1), length % (k + 1), 0, []
     for i in range(k + 1):
         n = size + (i >= k + 1 - rest)
-        out.append((at, n))
+        start, end = at + (i > 0), at + n - (i < k)
+        out.append((start, end - start))
         at += n
     return out
 
 
+def _least(k: int) -> int:
+    """Letters from which a name is cut into segments; shorter ones have segments too short to tell names apart."""
+    return 4 * (k + 1)
+
+
+def _deletions(name: str, k: int) -> set[str]:
+    """The name with up to k letters left out: names within k edits share such a form."""
+    forms = newest = {name}
+    for _ in range(k):
+        newest = {f[:i] + f[i + 1 :] for f in newest for i in range(len(f))}
+        forms = forms | newest
+    return forms
+
+
+def _short_keys(name: str, k: int) -> list[str]:
+    return [f"d.{f}" for f in _deletions(name, k)] if len(name) < _least(k) + k else []
+
+
 def index_keys(name: str, k: int) -> list[str]:
-    segments = _segments(len(name), k)
-    return [f"{len(name)}.{i}.{name[a : a + n]}" for i, (a, n) in enumerate(segments)] + [f"{len(name)}.x.{name}"]
+    cores = [f"{len(name)}.{i}.{name[a : a + n]}" for i, (a, n) in enumerate(_cores(len(name), k))] if len(name) >= _least(k) else []
+    return cores + _short_keys(name, k)
 
 
 def probe_keys(name: str, k: int) -> list[str]:
-    """Keys of all names within k edits; a swap across a segment limit is looked up as the whole swapped name."""
-    out = set()
-    for length in range(max(1, len(name) - k), len(name) + k + 1):
+    """Keys of all names within k edits: substrings where insertions and deletions can have moved a segment to."""
+    out = set(_short_keys(name, k))
+    for length in range(max(_least(k), len(name) - k), len(name) + k + 1):
         delta = len(name) - length
-        for i, (a, n) in enumerate(_segments(length, k)):
-            for shift in range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1):
-                s = a + shift
-                if s >= 0 and s + n <= len(name):
-                    out.add(f"{length}.{i}.{name[s : s + n]}")
-    for a, _ in _segments(len(name), k)[1:]:
-        if 0 < a < len(name):
-            out.add(f"{len(name)}.x.{name[: a - 1]}{name[a]}{name[a - 1]}{name[a + 1 :]}")
+        shifts = [s for s in range(-k, k + 1) if abs(s) + abs(delta - s) <= k]
+        for i, (a, n) in enumerate(_cores(length, k)):
+            for s in shifts:
+                if a + s >= 0 and a + s + n <= len(name):
+                    out.add(f"{length}.{i}.{name[a + s : a + s + n]}")
     return sorted(out)
 
 
 def _keys(fn, k: int):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: fn(v, k) if v is not None and len(v) >= MIN_LENGTH else [])
+        return s.map(lambda v: fn(v, k))
 
     return run
 
@@ -68,29 +92,38 @@ def _keys(fn, k: int):
 def near_names(names: DataFrame, col: str, k: int = 1) -> DataFrame:
     """Pairs ``a < b`` of distinct values of ``col`` within ``k`` edits, with their ``distance``.
 
-    Names under five letters and NULL have no partners. Swaps of neighbours are
-    one edit; for k above 1 a swap across a segment limit may count as two.
+    Exact for every k and length; swaps of neighbours are one edit; NULL has no
+    partners. Names that share a key with thousands of others are joined by the
+    trie of letter codes within that key, so no key costs all its pairs.
     """
-    distinct = names.select(F.col(col).alias("a")).filter("a is not null").distinct()
-    index = distinct.select(F.col("a").alias("b"), F.explode(_keys(index_keys, k)("a")).alias("key"))
-    probes = distinct.select("a", F.explode(_keys(probe_keys, k)("a")).alias("key"))
-    candidates = probes.join(index, "key").filter("a < b").select("a", "b").distinct()
-    mirrored = probes.join(index, "key").filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b")) if k > 1 else None
-    if mirrored is not None:
-        candidates = candidates.unionByName(mirrored).distinct()
+    distinct = cut(names.select(F.col(col).alias("a")).filter("a is not null").distinct(), "near-names")
+    index = distinct.select("a", F.explode(_keys(index_keys, k)("a")).alias("key"), F.lit(1).alias("held"))
+    probes = distinct.select("a", F.explode(_keys(probe_keys, k)("a")).alias("key"), F.lit(0).alias("held"))
+    keyed = cut(index.unionByName(probes), "near-keys")
+    sizes = keyed.groupBy("key").agg(F.sum("held").alias("n_held"), F.count("*").alias("n")).filter("n_held > 0 and n > n_held")
+    hot = cut(sizes.filter(F.col("n") > max(HOT_KEY, keyed.count() // MAX_HOT_KEYS)).select("key"), "near-hot")
+    cold = keyed
+    if any_hot := hot.limit(1).count():
+        cold = keyed.join(F.broadcast(hot), "key", "left_anti")
+    left, right = cold.filter("held = 0").select("key", "a"), cold.filter("held = 1").select("key", F.col("a").alias("b"))
+    candidates = left.join(right, "key").filter("a < b").select("a", "b")
+    if any_hot:
+        within = keyed.join(F.broadcast(hot), "key").select(F.col("key").alias("block"), F.col("a").alias("text")).distinct()
+        coded = cut(within.withColumn("code", letter_code(F.col("text"), letter_bits(distinct, "a"))), "near-codes")
+        candidates = candidates.unionByName(near_codes(coded, 2 * k).select(F.col("text_a").alias("a"), F.col("text_b").alias("b")))
 
     @F.pandas_udf("int")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([osa_within(p, q, k) for p, q in zip(x, y)], dtype="Int32")
 
-    return candidates.withColumn("distance", distance("a", "b")).filter("distance is not null")
+    return computed(candidates.distinct(), "distance", distance("a", "b")).filter("distance is not null")
 
 
 def near_keys(names: DataFrame, key: str, plain: str) -> DataFrame:
-    """Pairs ``a < b`` of keys of which some form, ``key`` itself or ``plain``, is within one edit of the other's."""
+    """Pairs ``a < b`` of keys of which some form of five letters or more, ``key`` itself or ``plain``, is within one edit of the other's."""
     forms = names.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.array(key, plain))).alias("form")).distinct()
-    near = near_names(forms, "form").select("a", "b").unionByName(forms.select(F.col("form").alias("a"), F.col("form").alias("b")))
+    near = near_names(forms.filter(F.length("form") >= MIN_LENGTH), "form").select("a", "b").unionByName(forms.select(F.col("form").alias("a"), F.col("form").alias("b")))
     left, right = (forms.select(F.col("key").alias(c), F.col("form").alias(f)) for c, f in (("x", "a"), ("y", "b")))
     near = near.join(left, "a").join(right, "b").filter("x <> y")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
