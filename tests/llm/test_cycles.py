@@ -21,7 +21,8 @@ def loop(parent, weight):
 def test_names_whose_parents_form_a_cycle_stay_linked(spark):
     names = ["Morevo Logistik GmbH"] * 5 + ["Morevol Logistik GmbH"] * 3 + ["Morevola Logistik GmbH", "Mrevola Logistik GmbH", "Andere Logistik KG"]
     got = {r.name: r.entity for r in link_employers(spark.createDataFrame([(n,) for n in names], "company string"), "company").collect()}
-    assert {v for k, v in got.items() if "Andere" not in k} == {"morevo|logistik"} and got["Andere Logistik KG"] != "morevo|logistik"
+    one = {v for k, v in got.items() if "Andere" not in k}
+    assert len(one) == 1 and got["Andere Logistik KG"] not in one
 
 
 @pytest.mark.parametrize("seed", [1, 2])

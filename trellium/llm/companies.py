@@ -1,13 +1,22 @@
-"""Reading typed employer names: core, trade, legal form."""
+"""Reading typed employer names: core, trade, legal form.
+
+Legal forms are a closed list; what is a trade and what has no weight is learned
+from the names (``llm.roles``).
+"""
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from trellium.llm.names import osa_within, skeleton, words
+from trellium.llm.names import words
+from trellium.llm.roles import MIN_CORES, Lexicon, learn_lexicon
 
-# Words of employer names that do not tell employers apart, and words that name a trade.
+# Legal forms of companies.
 LEGAL_FORMS = {
     "gmbh": ["gmbh", "gesellschaft mit beschrankter haftung", "gesellschaft mbh", "g m b h", "mbh"],
     "cokg": ["gmbh co kg", "gmbh und co kg", "gmbh and co kg", "gmbh u co kg", "gmbh cokg", "co kg"],
@@ -22,19 +31,6 @@ LEGAL_FORMS = {
     "sa": ["sa", "s a"], "sas": ["sas", "s a s"], "srl": ["srl", "s r l"], "inc": ["inc"], "llc": ["llc"], "plc": ["plc"], "bv": ["bv", "b v"], "nv": ["nv", "n v"],
     "sro": ["sro", "s r o"], "spzoo": ["sp z o o", "spzoo"], "lda": ["lda"], "sl": ["sl", "s l"], "gbr": ["gbr"], "ev": ["e v"], "eg": ["e g"],
 }
-NOISE_WORDS = [
-    "fa", "firma", "deutschland", "germany", "osterreich", "austria", "schweiz", "switzerland", "hr", "personalabteilung", "personal abteilung", "human resources", "recruiting team", "karriere", "jobs", "the", "die", "der", "co", "und", "and", "u",
-    "gruppe", "group", "holding", "sohne", "tochter", "gebruder", "gebr", "partner", "nachf", "nachfolger", "cie", "r", "tm", "inh",
-]
-TRADES = [
-    "anlagenbau", "apparatebau", "architekten", "armaturen", "automation", "automobile", "bäckerei", "bank", "bau", "bauelemente", "beratung", "biotech", "brauerei", "chemie", "consulting", "design", "druckerei", "druckhaus", "elektronik", "elektrotechnik", "energie",
-    "energietechnik", "fahrzeugbau", "fahrzeugteile", "feinmechanik", "finanz", "fleischerei", "fördertechnik", "galvanik", "gartenbau", "gebäudetechnik", "gießerei", "glastechnik", "handel", "haustechnik", "holzbau", "hotel", "hydraulik", "immobilien", "industrietechnik", "ingenieure", "interim",
-    "kabelwerk", "kältetechnik", "karriereservice", "keramik", "klinik", "kosmetik", "kunststofftechnik", "lackiererei", "landtechnik", "lebensmittel", "logistik", "maschinenbau", "medien", "medizintechnik", "messtechnik", "metallbau", "möbelwerke", "molkerei", "motoren", "mühle", "optik", "papierfabrik",
-    "personal", "personalberatung", "personaldienste", "pflege", "pharma", "präzisionsteile", "pumpen", "recruiting", "recycling", "reederei", "robotics", "sanitärtechnik", "schiffbau", "schmiede", "sensorik", "service", "sicherheitstechnik", "softwarehaus", "spedition", "stahlbau", "stahlhandel",
-    "staffing", "steuerungstechnik", "technik", "telekom", "textilwerke", "tiefbau", "transporte", "umwelttechnik", "verlag", "vermittlung", "verpackungen", "versicherung", "werbung", "werkzeugbau", "zeitarbeit", "ziegelei",
-]
-#: Shortenings that would fit several trades.
-SHORT_FORMS = {"elektr": "elektronik", "elektro": "elektrotechnik", "masch": "maschinenbau", "med": "medizintechnik", "pers": "personal", "energ": "energietechnik", "fahrz": "fahrzeugteile", "pharm": "pharma", "chem": "chemie", "log": "logistik"}
 
 
 #: A shortened trade that fits several: it says nothing.
@@ -47,86 +43,94 @@ def _legal_index() -> dict[tuple[str, ...], str]:
 
 _LEGAL = _legal_index()
 _LEGAL_LONGEST = max(len(k) for k in _LEGAL)
-_NOISE = {tuple(n.split()) for n in NOISE_WORDS}
-#: Every skeleton of a trade (digraphs folded or not, double s or one) to the trade.
-_TRADES = {f: t for t in TRADES for g in (True, False) for f in (skeleton(t, g), skeleton(t.replace("ß", "ss"), g))}
 
 
-def _subsequence(short: str, long: str) -> bool:
-    it = iter(long)
-    return all(c in it for c in short)
+def _folded(word: str) -> str:
+    return word.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-@lru_cache(maxsize=50_000)
-def trade_of(token: str, cut: bool) -> str | None:
-    """The trade that a word names: itself, within one edit, or cut off with a dot."""
-    if token in _TRADES:
-        return _TRADES[token]
-    if cut and token in SHORT_FORMS:
-        return SHORT_FORMS[token]
-    if cut and len(token) >= 3:
-        hits = {t for f, t in _TRADES.items() if f.startswith(token) and len(f) > len(token)}
-        if hits:
-            return hits.pop() if len(hits) == 1 else ANY_TRADE
-    if len(token) >= 4:
-        near = {t for f, t in _TRADES.items() if len(f) >= 5 and osa_within(token, f, 1) is not None}
-        if len(near) == 1:
-            return near.pop()
-    return None
+def _legal_form(toks: list[str]) -> tuple[str, list[bool]]:
+    """The first legal form named, and which words belong to one; a name does not begin with its form."""
+    used, legal = [False] * len(toks), ""
+    for size in range(min(_LEGAL_LONGEST, len(toks)), 0, -1):
+        for i in range(len(toks) - size + 1):
+            key = tuple(toks[i : i + size])
+            if key in _LEGAL and not any(used[i : i + size]) and (i > 0 or size == len(toks)):
+                legal = legal or _LEGAL[key]
+                used[i : i + size] = [True] * size
+    return legal, used
+
+
+def telling_words(name: str | None) -> list[str]:
+    """Folded words of a name without its legal form."""
+    toks = [_folded(w) for w in words(name, digraphs=False)] if name else []
+    return [t for t, u in zip(toks, _legal_form(toks)[1]) if not u]
+
+
+def learn_companies(names: DataFrame, col: str) -> Lexicon:
+    """The lexicon of all distinct values of a column of employer names."""
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(telling_words)
 
+    distinct = names.select(F.col(col).alias("name")).filter("name is not null").distinct()
+    lexicon = learn_lexicon(distinct.select(split("name").alias("words")), "words")
+    if not lexicon.trades:
+        return lexicon
 
-@lru_cache(maxsize=50_000)
-def trade_of_pair(head: str, tail: str) -> str | None:
-    """A trade written in two parts, the first shortened: "geb technik"."""
-    if len(tail) < 3 or len(head) < 2:
-        return None
-    hits = {t for f, t in _TRADES.items() if f.endswith(tail) and len(f) >= len(tail) + len(head) and f[0] == head[0] and _subsequence(head, f[: -len(tail)])}
-    return hits.pop() if len(hits) == 1 else None
+    @F.pandas_udf("array<string>")
+    def digraphs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda v: [w for w in words(v, digraphs=False) if _folded(w) != w and _folded(w) in lexicon.trades])
 
+    # spellings of the trades with their digraphs: an edit may make or break one
+    spelled = distinct.select(F.explode(digraphs("name")).alias("w")).groupBy("w").count().filter(F.col("count") >= MIN_CORES).collect()
+    return Lexicon(lexicon.trades | {r.w: lexicon.trades[_folded(r.w)] for r in spelled}, lexicon.light)
 
-def read_company(name: str | None) -> tuple[str, str, str, str]:
-    """(core, core with digraphs kept, trade, legal form) of a typed name; all '' when it names no employer.
+
+def _trade_of(word: str, plain: str, cut: bool, lexicon: Lexicon) -> str | None:
+    """The trade that a word names, with or without its digraphs: within one edit, or cut off with a dot."""
+    if cut and len(word) >= 3:
+        hits = {lexicon.trades[f] for f in lexicon.beginnings.get(word, ())}
+        if hits:
+            return hits.pop() if len(hits) == 1 else ANY_TRADE
+    near = lexicon.close(word) | (lexicon.close(plain) if plain != word else set()) if len(word) >= 4 else set()
+    return near.pop() if len(near) == 1 else None
+
+
+def read_company(name: str | None, lexicon: Lexicon = Lexicon()) -> tuple[str, str, str, str, str]:
+    """(core, core as typed, trade, legal form, words of the core) of a typed name; all '' when it names no employer.
 
     The core is what remains when trade, legal form and words of no weight are
-    taken off; a name of nothing but such words keeps its trade as the core.
+    taken off, its words in binary order; as typed they keep their own order and
+    their digraphs, since an edit may change either. Words with a dot behind them
+    have it among the words. A name of nothing but shared words keeps its trade
+    as the core.
     """
     if name is None or not re.search(r"\w", name):
-        return "", "", "", ""
-    folded, plain = (_read(words(name, g), set(words(" ".join(re.findall(r"[\w\-]+(?=\.)", name)), g))) for g in (True, False))
-    if plain[1] and not folded[1]:
-        folded = plain
-    core, trade, legal = folded
-    return core, plain[0], "" if trade == ANY_TRADE else trade, legal
-
-
-def _read(toks: list[str], dotted: set[str]) -> tuple[str, str, str]:
-    used = [False] * len(toks)
-    legal = ""
-    for size in range(_LEGAL_LONGEST, 0, -1):
-        for i in range(len(toks) - size + 1):
-            key = tuple(toks[i : i + size])
-            if not any(used[i : i + size]) and key in _LEGAL and (i > 0 or size == len(toks)):
-                legal = legal or _LEGAL[key]
-                used[i : i + size] = [True] * size
-    for size in (2, 1):
-        for i in range(len(toks) - size + 1):
-            if not any(used[i : i + size]) and tuple(toks[i : i + size]) in _NOISE:
-                used[i : i + size] = [True] * size
+        return "", "", "", "", ""
+    plain = words(name, digraphs=False)
+    toks = [_folded(w) for w in plain]
+    dotted = {_folded(w) for part in re.findall(r"[\w\-]+(?=\.)", name) for w in words(part, digraphs=False)}
+    legal, used = _legal_form(toks)
     trade = ""
-    rest = [i for i, u in enumerate(used) if not u]
-    for i in rest:
-        if trade or used[i]:
-            break
-        if i + 1 < len(toks) and not used[i + 1] and toks[i] not in _TRADES and (t := trade_of_pair(toks[i], toks[i + 1])):
-            trade, used[i], used[i + 1] = t, True, True
+    free = lambda: [i for i, u in enumerate(used) if not u]
+    for i, j in zip(free(), free()[1:]):
+        if not trade and j == i + 1 and toks[i] not in lexicon.trades and len(toks[i]) >= 2 and len(toks[j]) >= 3 and len(both := lexicon.of_two(toks[i], toks[j])) == 1:
+            trade, used[i], used[j] = both.pop(), True, True
+    if not trade:
+        for i in free():
+            if not trade and toks[i] in lexicon.trades:
+                trade, used[i] = lexicon.trades[toks[i]], True
+    for i in free():
+        used[i] = lexicon.is_light(toks[i])
     if not trade:
-        for exact in (True, False):
-            for i in rest:
-                if not trade and not used[i] and (toks[i] in _TRADES if exact else True):
-                    t = trade_of(toks[i], toks[i] in dotted)
-                    if t:
-                        trade, used[i] = t, True
-    core = "".join(toks[i] for i in range(len(toks)) if not used[i])
-    if not core:
-        core, trade = trade or "".join(toks), ""
-    return core, trade, legal
+        for i in free():
+            if not trade and (found := _trade_of(toks[i], plain[i], toks[i] in dotted, lexicon)):
+                trade, used[i] = found, True
+    typed, parts = "".join(plain[i] for i in free()), sorted(toks[i] for i in free())
+    if not parts:
+        parts, trade = [trade or "".join(toks)], ""
+    return "".join(parts), typed or parts[0], "" if trade == ANY_TRADE else trade, legal, " ".join(t + "." * (t in dotted) for t in parts)

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellium.llm.canonical import gazetteer_of
-from trellium.llm.companies import read_company
+from trellium.llm.companies import learn_companies, read_company
 from trellium.llm.names import osa_within, skeleton, words
 from trellium.llm.trie import BUDGET, EDITS, letter_bits, letter_code, near_codes
-from trellium.llm.variants import READ, components, employer_node, employer_roots, fold_rare
+from trellium.llm.variants import READ, READ_COLUMNS, components, employer_node, employer_roots, fold_rare
 from trellium.session import cut
 
 # Words of a title or a place that tell openings and places not apart.
@@ -113,22 +113,23 @@ def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
     """
     rows = jobs.select("url", "title", "company", "location").filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''")
     fixed = tuple(entries)
+    lexicon = learn_companies(rows, "company")
 
     @F.pandas_udf(f"{READ}, place_id bigint, town string, town_plain string, text string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         gazetteer = gazetteer_of(fixed)
         of_place = lru_cache(100_000)(lambda v: (gazetteer.resolve(v), *place_words(v)))
         of_title = lru_cache(100_000)(lambda v: " ".join(title_words(v)))
-        of_company = lru_cache(100_000)(read_company)
+        of_company = lru_cache(100_000)(lambda v: read_company(v, lexicon))
         for titles, companies, locations in batches:
             out = []
             for t, c, p in zip(titles, companies, locations):
                 out.append((*of_company(c), *of_place(p), of_title(t)))
-            yield pd.DataFrame(out, columns=["core", "plain", "trade", "legal", "place_id", "town", "town_plain", "text"])
+            yield pd.DataFrame(out, columns=[*READ_COLUMNS, "place_id", "town", "town_plain", "text"])
 
     known = cut(rows.withColumn("r", read("title", "company", "location")).select("url", "r.*").withColumn("x", employer_node()), "opening-rows")
     known = known.filter("text <> '' and core <> '' and (place_id > 0 or town <> '')")
-    employers = employer_roots(known.groupBy("core", "plain", "trade", "legal").agg(F.count("*").alias("n")))
+    employers = employer_roots(known.groupBy(*READ_COLUMNS).agg(F.count("*").alias("n")))
     unlisted = known.filter("place_id = 0").groupBy("town", "town_plain").agg(F.count("*").alias("n"))
     towns = fold_rare(unlisted, "town", "town_plain", F.sum("n")).select(F.col("x").alias("town"), F.col("root").alias("known_town"))
     place = F.when(F.col("place_id") > 0, F.concat(F.lit("#"), F.col("place_id"))).otherwise(F.coalesce("known_town", "town"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellium.llm.companies import read_company
+from trellium.llm.companies import learn_companies, read_company
 from trellium.llm.names import osa_within
 from trellium.llm.trie import letter_bits, letter_code, near_codes
 from trellium.operators.keyed import computed
@@ -192,7 +192,8 @@ def _node(core: Column, trade: Column, legal: Column) -> Column:
     return F.concat_ws("|", core, trade, F.when(trade == "", legal))
 
 
-READ = "core string, plain string, trade string, legal string"
+READ = "core string, plain string, trade string, legal string, parts string"
+READ_COLUMNS = ["core", "plain", "trade", "legal", "parts"]
 
 
 def link_employers(names: DataFrame, col: str) -> DataFrame:
@@ -202,16 +203,18 @@ def link_employers(names: DataFrame, col: str) -> DataFrame:
     employer and are left out. A variant follows, in this order: a more frequent
     core within one edit in the same trade; the full core whose last syllable it
     lacks, in the same trade; and, where it names no trade, the only trade of
-    its core, or the only one with its legal form. Equal cores in different
+    its core, or the only one with its legal form, else the only core that has
+    one word more. Equal cores in different
     trades stay apart. Ties go to the smaller name in binary order. Empty input
     gives an empty result.
     """
-    spelled = names.select(F.col(col).alias("name")).filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    spelled = cut(names.select(F.col(col).alias("name")).filter("name is not null").groupBy("name").agg(F.count("*").alias("n")), "employer-spellings")
+    lexicon = learn_companies(spelled, "name")
 
     @F.pandas_udf(READ)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([read_company(v) for v in s], columns=["core", "plain", "trade", "legal"])
+            yield pd.DataFrame([read_company(v, lexicon) for v in s], columns=READ_COLUMNS)
 
     parsed = spelled.withColumn("r", read("name")).select("name", "n", "r.*").filter("core <> ''")
     parsed = cut(parsed.withColumn("x", employer_node()), "employer-names")
@@ -223,9 +226,9 @@ def employer_node() -> Column:
 
 
 def employer_roots(parsed: DataFrame) -> DataFrame:
-    """``x, root`` for every node ``x`` of read names (``core, plain, trade, legal``, ``n`` rows each)."""
-    parsed = parsed.groupBy("core", "plain", "trade", "legal").agg(F.sum("n").alias("n")).withColumn("x", employer_node())
-    nodes = cut(parsed.groupBy("x", "core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals")), "employer-nodes")
+    """``x, root`` for every node ``x`` of read names (``core, plain, trade, legal, parts``, ``n`` rows each)."""
+    parsed = parsed.groupBy(*READ_COLUMNS).agg(F.sum("n").alias("n")).withColumn("x", employer_node())
+    nodes = cut(parsed.groupBy("x", "core", "trade").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("legal", F.lit(""))).alias("legals"), F.max("parts").alias("parts")), "employer-nodes")
     near = cut(near_keys(parsed, "core", "plain"), "employer-near")
 
     other = nodes.select(*[F.col(c).alias(f"y_{c}") for c in nodes.columns])
@@ -239,13 +242,22 @@ def employer_roots(parsed: DataFrame) -> DataFrame:
     same_bare = bare.join(other, bare["core"] == other["y_core"]).filter("y_trade = ''").filter(heavier)
     near_core = bare.join(both_ways, "core").join(other, "y_core").filter("y_trade <> ''")
     stem_core = bare.join(stems, "core").filter("y_trade <> ''")
+    # a core that lacks one word of another, or has it cut off with a dot; such a word may be a trade too rare to be learned
+    words = F.split("y_parts", " ")
+    rest = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.array_join(F.filter(ws, lambda _, j: i != j), "").alias("core")))
+    right = other.filter((F.col("y_trade") == "") & F.contains("y_parts", F.lit(" ")) & ~F.contains("y_parts", F.lit("."))).join(typo.select(F.col("x").alias("y_x")).distinct(), "y_x", "left_anti")
+    fuller = right.withColumn("r", F.explode(rest(words))).select("*", "r.core", "r.word").drop("r").withColumn("y_trade", F.col("y_core"))
+    part_core = bare.join(fuller, "core")
+    dotted = bare.filter(F.contains("parts", F.lit("."))).withColumn("r", F.explode(rest(F.split("parts", " ")))).filter(F.endswith("r.word", F.lit(".")))
+    dotted = dotted.select("x", "trade", "legals", F.replace("r.core", F.lit("."), F.lit("")).alias("core"), F.rtrim("r.word", F.lit(".")).alias("stem"))
+    cut_core = dotted.join(fuller, "core").filter((F.length("stem") >= 3) & F.startswith("word", F.col("stem")))
 
     def edges(df: DataFrame, kind: int) -> DataFrame:
         legal_ok = F.arrays_overlap("legals", "y_legals")
         return df.select("x", "trade", F.lit(kind).alias("kind"), "y_x", "y_trade", "y_n", "y_core", F.coalesce(legal_ok, F.lit(False)).alias("legal_ok"))
 
     all_edges = edges(typo, 0)
-    for kind, df in enumerate((short, same_core, near_core, stem_core, same_bare), 1):
+    for kind, df in enumerate((short, same_core, near_core, stem_core, same_bare, part_core, cut_core), 1):
         all_edges = all_edges.unionByName(edges(df, kind))
     all_edges = cut(all_edges, "employer-edges")
 
@@ -260,7 +272,7 @@ def employer_roots(parsed: DataFrame) -> DataFrame:
         F.first("trade").alias("trade"),
     )
     chosen = F.when(F.col("n_trades") == 1, F.col("any_best")).when(F.col("n_legal_trades") == 1, F.col("legal_best"))
-    order = F.when((F.col("trade") == "") & (F.col("kind") == 5), 9).when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
+    order = F.when((F.col("trade") == "") & (F.col("kind") >= 5), F.when(F.col("kind") == 5, 9).otherwise(8)).when((F.col("trade") == "") & (F.col("kind") < 2), F.col("kind") + 10).otherwise(F.col("kind"))
     picks = by_kind.groupBy("x").agg(F.min_by(F.struct(chosen.alias("parent")), order).alias("pick")).select("x", "pick.parent")
     parents = nodes.select("x", "n").join(picks, "x", "left").select("x", F.coalesce("parent", "x").alias("parent"), "n")
     return follow_parents(parents, "employer-roots")
