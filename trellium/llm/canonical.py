@@ -129,13 +129,13 @@ class Gazetteer:
                         if d is not None:
                             yield d, -len(base), a, b, base
 
-    def _word_sets(self, toks: list[str]) -> Iterator[tuple[int, int, int, int, str]]:
+    def _word_sets(self, toks: list[str], edits: int) -> Iterator[tuple[int, int, int, int, str]]:
         """The same of names of several words, each of which is among the value's, wherever it stands."""
         met: dict[tuple[str, tuple[str, ...]], list[dict[int, int]]] = {}
-        for at, t in enumerate(toks):
-            for form in one_deletions(t) if len(t) >= self.min_fuzzy - 1 else {t}:
+        for at, t in enumerate(toks if self.near_word else ()):
+            for form in one_deletions(t) if edits and len(t) >= self.min_fuzzy - 1 else {t}:
                 for base, name, i in self.near_word.get(form, ()):
-                    d = osa_within(t, name[i], self.max_edits)
+                    d = osa_within(t, name[i], edits)
                     if d is not None:
                         places = met.setdefault((base, name), [{} for _ in name])[i]
                         places[at] = min(d, places.get(at, d))
@@ -147,12 +147,12 @@ class Gazetteer:
                     break
                 d, at = min(free)
                 taken.append((at, d))
-            if len(taken) == len(name) and sum(d for _, d in taken) <= self.max_edits:
+            if len(taken) == len(name) and sum(d for _, d in taken) <= edits:
                 yield sum(d for _, d in taken), -len(base), min(x for x, _ in taken), max(x for x, _ in taken) + 1, base
 
     def _similar(self, toks: list[str]) -> list[tuple[int, int, str]]:
         """The similar name with the fewest edits, of those the longest; none where two are equally near."""
-        best = [*self._joined(toks), *self._word_sets(toks)]
+        best = [*self._joined(toks), *self._word_sets(toks, self.max_edits)]
         if not best:
             return []
         d, _, a, b, base = min(best)
@@ -162,7 +162,7 @@ class Gazetteer:
 
     def _reordered(self, toks: list[str], hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """A name whose words all occur, in another order, and which holds every mention: it is what was meant."""
-        whole = sorted(x for x in self._word_sets(toks) if x[0] == 0 and all(-x[1] > len(h[2]) and x[2] <= h[0] and h[1] <= x[3] for h in hits))
+        whole = sorted(x for x in self._word_sets(toks, 0) if all(-x[1] > len(h[2]) and x[2] <= h[0] and h[1] <= x[3] for h in hits))
         names = {x[4] for x in whole if x[1] == whole[0][1]}
         return [(whole[0][2], whole[0][3], whole[0][4])] if len(names) == 1 else hits
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trellium.llm.names import words
 from trellium.llm.roles import MIN_CORES, Lexicon, learn_lexicon
+from trellium.session import cut
 
 # Legal forms of companies.
 LEGAL_FORMS = {
@@ -75,7 +76,8 @@ def learn_companies(names: DataFrame, col: str) -> Lexicon:
         for s in batches:
             yield s.map(telling_words)
 
-    distinct = names.select(F.col(col).alias("name")).filter("name is not null").distinct()
+    # written first: a filter on the words would else be pushed below, and split every row
+    distinct = cut(names.select(F.col(col).alias("name")).filter("name is not null").distinct(), "company-names")
     lexicon = learn_lexicon(distinct.select(split("name").alias("words")), "words")
     if not lexicon.trades:
         return lexicon
@@ -90,9 +92,9 @@ def learn_companies(names: DataFrame, col: str) -> Lexicon:
     return Lexicon(lexicon.trades | {r.w: lexicon.trades[_folded(r.w)] for r in spelled}, lexicon.light)
 
 
-def _trade_of(word: str, plain: str, cut: bool, lexicon: Lexicon) -> str | None:
+def _trade_of(word: str, plain: str, short: bool, lexicon: Lexicon) -> str | None:
     """The trade that a word names, with or without its digraphs: within one edit, or cut off with a dot."""
-    if cut and len(word) >= 3:
+    if short and len(word) >= 3:
         hits = {lexicon.trades[f] for f in lexicon.beginnings.get(word, ())}
         if hits:
             return hits.pop() if len(hits) == 1 else ANY_TRADE

@@ -6,7 +6,8 @@ import html
 import re
 import unicodedata
 
-_LETTERS = {"ß": "s", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"}
+_LETTERS = str.maketrans({"ß": "s", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"})
+_MARKS = re.compile(r"[\u0300-\u036f]+")
 
 
 def skeleton(text: str, digraphs: bool = True) -> str:
@@ -14,11 +15,14 @@ def skeleton(text: str, digraphs: bool = True) -> str:
     text = text.lower()
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFC", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     if digraphs:
         text = text.replace("ae", "a").replace("oe", "o").replace("ue", "u")
-    text = unicodedata.normalize("NFKD", text)
-    return "".join(_LETTERS.get(c, c) for c in text if not unicodedata.combining(c))
+    if text.isascii():
+        return text
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_LETTERS)
+    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
 
 
 def words(text: str, digraphs: bool = True) -> list[str]:

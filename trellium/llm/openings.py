@@ -51,8 +51,13 @@ def title_words(title: str | None) -> list[str]:
 
 
 _PLACE_NOISE = set(PLACE_NOISE)
-_ANYWHERE = sorted((a.split() for a in ANYWHERE_WORDS), key=len, reverse=True)
-_SEVERAL = sorted((a.split() for a in SEVERAL_WORDS), key=len, reverse=True)
+_ANYWHERE = {tuple(a.split()) for a in ANYWHERE_WORDS}
+_ANYWHERE_PARTS = {w for a in _ANYWHERE for w in a}
+_SEVERAL = {tuple(a.split()) for a in SEVERAL_WORDS}
+
+
+def _names(toks: list[str], phrases: set[tuple[str, ...]]) -> bool:
+    return any(tuple(toks[i : i + n]) in phrases for n in {len(p) for p in phrases} for i in range(len(toks) - n + 1))
 
 
 def place_words(location: str | None) -> tuple[str, str]:
@@ -62,11 +67,13 @@ def place_words(location: str | None) -> tuple[str, str]:
         return "", ""
     toks = [w for w in words(location) if not w.isdigit()]
     rest = [w for w in toks if w not in _PLACE_NOISE]
-    has = lambda phrases: any(toks[i : i + len(p)] == p for p in phrases for i in range(len(toks)))
-    if has(_SEVERAL):
+    if _names(toks, _SEVERAL):
         return "@several", "@several"
-    if not rest or (has(_ANYWHERE) and all(any(w in p for p in _ANYWHERE) for w in rest)):
-        return ("@anywhere", "@anywhere") if has(_ANYWHERE) else ("".join(toks), "".join(toks))
+    if not rest or all(w in _ANYWHERE_PARTS for w in rest):
+        if _names(toks, _ANYWHERE):
+            return "@anywhere", "@anywhere"
+        if not rest:
+            return "".join(toks), "".join(toks)
     plain = [w for w in words(location, digraphs=False) if not w.isdigit() and skeleton(w) not in _PLACE_NOISE]
     return "".join(rest), "".join(plain) or "".join(rest)
 
@@ -118,7 +125,7 @@ def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
     @F.pandas_udf(f"{READ}, place_id bigint, town string, town_plain string, text string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         gazetteer = gazetteer_of(fixed)
-        of_place = lru_cache(100_000)(lambda v: (gazetteer.resolve(v), *place_words(v)))
+        of_place = lru_cache(100_000)(lambda v: (i, "", "") if (i := gazetteer.resolve(v)) else (0, *place_words(v)))
         of_title = lru_cache(100_000)(lambda v: " ".join(title_words(v)))
         of_company = lru_cache(100_000)(lambda v: read_company(v, lexicon))
         for titles, companies, locations in batches:
