@@ -9,6 +9,7 @@ from trellium.functions.urls import clean_url, strip
 from trellium.operators.orphans import orphan_references, orphan_report
 from trellium.plans.sqlgen import clean_url_sql, strip_sql
 from trellium.plans.tables import table
+from trellium.session import spread
 
 _HTTP = r"(?i)^\s*https?://"
 
@@ -20,10 +21,10 @@ def _key(col: str):
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     def refs(name: str, id_col: str, ref: str, at: str) -> DataFrame:
-        t = table(spark, d, name).filter(F.col(ref).rlike(_HTTP))
+        t = spread(table(spark, d, name).select(id_col, ref, at).filter(F.col(ref).rlike(_HTTP)))
         return t.select(F.lit(name).alias("ref_table"), F.col(id_col).alias("ref_id"), _key(ref).alias("key"), F.col(at).alias("at"))
 
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages").select("url", "final_url", "visited_at"))
     parents = pages.select(F.explode(F.array_distinct(F.array("url", "final_url"))).alias("url"), F.col("visited_at").alias("at"))
     parents = parents.select(clean_url("url").alias("key"), "at")
     return orphan_references([refs("jobs", "job_id", "source_page", "first_seen_at"), refs("frontier", "item_id", "discovered_from", "queued_at")], parents)

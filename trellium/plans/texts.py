@@ -12,6 +12,7 @@ from trellium.functions.geo import haversine_km, named_places
 from trellium.functions.urls import career_urls, root_url, url_path
 from trellium.plans.sqlgen import part_sql
 from trellium.plans.tables import table
+from trellium.session import spread
 
 TERMS = ["Erfahrung", "Teilzeit", "supplier", "Verträge", "Maschinen", "team", "expérience", "Wochen", "contract", "zkušenost"]
 WORDS = ["jobs", "Engineer", "Einkäufer", "Schichtführer", "in", "controller"]
@@ -23,7 +24,7 @@ CENTRE, RADIUS_KM = (48.137154, 11.576124), 250.0
 
 
 def term_hits_substring(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.substring_hits("text", TERMS).alias("h")).select("doc_id", F.array_join("h", ",").alias("hits"), F.size("h").cast("bigint").alias("n_hits"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.substring_hits("text", TERMS).alias("h")).select("doc_id", F.array_join("h", ",").alias("hits"), F.size("h").cast("bigint").alias("n_hits"))
 
 
 def term_hits_token(spark, d):
@@ -31,12 +32,12 @@ def term_hits_token(spark, d):
 
 
 def page_text_compact(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"], head=5, relevant=4, most=900).alias("compact"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"], head=5, relevant=4, most=900).alias("compact"))
 
 
 def page_text_compact_full(spark, d):
     """The same with the limits of the operator: 180 lines, 240 relevant ones, 14,000 characters."""
-    return table(spark, d, "documents").select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"]).alias("compact"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"]).alias("compact"))
 
 
 def text_clip(spark, d):

@@ -11,6 +11,7 @@ from trellium.functions.html import anchors
 from trellium.operators.keyed import computed
 from trellium.plans.sqlgen import clean_url_sql, part_sql, path_sql
 from trellium.plans.tables import table
+from trellium.session import spread
 
 HINTS = [("job", 1.0), ("jobs", 1.0), ("career", 1.0), ("karriere", 1.0), ("vacanc", 1.0), ("stellen", 1.0), ("emplois", 1.0), ("engineer", 0.75), ("einkäufer", 0.75), ("controller", 0.75), ("detail", 0.5)]
 TEMPLATES = ["https://suche.example/q?s={query}", "https://board.example/jobs/{query_slug}/all", "https://board.example/find?q={query_plus}&sort=new"]
@@ -90,7 +91,7 @@ def _links(spark, d) -> DataFrame:
     """Anchors of a page text made of each page's own addresses."""
     part = lambda c: F.concat(F.lit('<li><a class="x" href="'), F.coalesce(F.col(c), F.lit("")), F.lit('"> <b>'), F.coalesce(F.regexp_replace("title", "[<>&]", ""), F.lit("")), F.lit("</b>\n</a></li>"))
     html = F.concat(F.lit("<ul>"), part("url"), part("final_url"), part("discovered_from"), F.lit("</ul>"))
-    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("page_url"), html.alias("html"))
+    pages = spread(table(spark, d, "pages").select("page_id", "url", "final_url", "discovered_from", "title")).select("page_id", F.col("url").alias("page_url"), html.alias("html"))
     return pages.select("page_id", "page_url", F.posexplode(anchors(F.col("html"))).alias("pos", "a")).select("page_id", "page_url", "pos", "a.href", "a.text")
 
 

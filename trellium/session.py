@@ -75,6 +75,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt to all of them; a larger one as it is.
+
+    A small file is one partition, and what is computed from it would run in one
+    task. The rows are the same either way.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 _SCOPES: list[list[str]] = []
 
 
