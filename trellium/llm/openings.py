@@ -20,7 +20,7 @@ from trellium.llm.companies import learn_companies, read_company
 from trellium.llm.names import osa_within, skeleton, words
 from trellium.llm.trie import BUDGET, EDITS, letter_bits, letter_code, near_codes
 from trellium.llm.variants import READ, READ_COLUMNS, components, employer_node, employer_roots, fold_rare
-from trellium.session import cut
+from trellium.session import cut, spread
 
 # Words of a title or a place that tell openings and places not apart.
 SENIORITY = {"sr": "senior", "sen": "senior", "snr": "senior", "jr": "junior", "jun": "junior", "jnr": "junior"}
@@ -118,7 +118,7 @@ def opening_records(jobs: DataFrame, entries: list) -> DataFrame:
     The block is employer and place, each under its canonical spelling; the text
     is the title's telling words. Rows without one of the three are left out.
     """
-    rows = jobs.select("url", "title", "company", "location").filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''")
+    rows = spread(jobs.select("url", "title", "company", "location")).filter("url is not null and trim(title) <> '' and trim(company) <> '' and trim(location) <> ''")
     fixed = tuple(entries)
     lexicon = learn_companies(rows, "company")
 

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from trellium.llm.mojibake import examined, is_garbled
 from trellium.operators.keyed import computed
 from trellium.plans.tables import table
+from trellium.session import spread
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text").filter(is_garbled(F.col("text"))).select("doc_id")
+    docs = computed(spread(table(spark, d, "documents").select("doc_id", "text")), "garbled", is_garbled(F.col("text")))
+    return docs.filter("garbled").select("doc_id")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    docs = computed(table(spark, d, "documents").select("doc_id", "text"), "x", examined(F.col("text")))
+    docs = computed(spread(table(spark, d, "documents").select("doc_id", "text")), "x", examined(F.col("text")))
     return docs.filter("x.garbled").select("doc_id", "x.restored")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellium.llm.packing import pack, pack_report
 from trellium.llm.tokens import token_count
 from trellium.plans.tables import table
+from trellium.session import spread
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +16,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), token_count(F.col("text")).alias("size"))
+    items = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), token_count(F.col("text")).alias("size"))
     return pack(items, _windows(spark, d))
 
 

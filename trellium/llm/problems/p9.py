@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellium.llm.mixing import mix
 from trellium.llm.tokens import token_count
 from trellium.plans.tables import table
+from trellium.session import spread
 
 
 #: Share of all tokens of the target sources that the second mixture aims at: more than its scarce sources can serve.
@@ -16,7 +17,7 @@ TOTAL = 0.8
 
 def _mixed(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets").select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     return mix(docs.select(F.col("doc_id").alias("id"), "source", token_count(F.col("text")).alias("size")), targets, total)
 
 
