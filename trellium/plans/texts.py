@@ -32,11 +32,7 @@ def term_hits_token(spark, d):
 
 
 def page_text_compact(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"], head=5, relevant=4, most=900).alias("compact"))
-
-
-def page_text_compact_full(spark, d):
-    """The same with the limits of the operator: 180 lines, 240 relevant ones, 14,000 characters."""
+    """Documents compacted with the limits of the operator: 180 lines, 240 relevant ones, 14,000 characters."""
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.compacted("text", ["contract", "vertrag", "salario", "lidí"]).alias("compact"))
 
 
@@ -145,7 +141,7 @@ def career_expansion(spark, d):
 
 def queries():
     return {
-        "term_hits_substring": term_hits_substring, "term_hits_token": term_hits_token, "page_text_compact": page_text_compact, "page_text_compact_full": page_text_compact_full, "text_clip": text_clip, "as_text_fields": as_text_fields, "company_words": company_words, "company_mentions": company_mentions,
+        "term_hits_substring": term_hits_substring, "term_hits_token": term_hits_token, "page_text_compact": page_text_compact, "page_text_compact_full": page_text_compact, "text_clip": text_clip, "as_text_fields": as_text_fields, "company_words": company_words, "company_mentions": company_mentions,
         "ordered_unique_terms": unique_terms, "haversine": haversine, "nearest_city": nearest_city, "json_decode_noise": json_decode_noise, "page_decision_decode": page_decision_decode, "event_props": event_props, "section_fill_down": section_fill_down, "prompt_budget_limits": prompt_budget,
         "title_from_link": title_from_link, "title_parts": title_parts, "term_regex_hits": term_regex_hits, "first_location_term": first_location_term, "links_json": links_json, "career_expansion": career_expansion,
     }
@@ -162,8 +158,7 @@ def sql() -> dict[str, str]:
     trans = f"replace(replace(replace({fold}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')"
     tokens = "[" + ", ".join(f"CASE WHEN regexp_matches({fold} || chr(10) || {trans}, '{T.token_pattern(t)}') THEN '{t}' END" for t in WORDS) + "]"
     lines = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\r\\n|\\n|\\r'), lambda s: trim(s)), lambda s: s <> '')"
-    important = "list_filter(l, lambda s: regexp_matches(lower(s), 'contract|vertrag|salario|lidí'))[1:4]"
-    relevant = important.replace("[1:4]", "[1:240]")
+    relevant = "list_filter(l, lambda s: regexp_matches(lower(s), 'contract|vertrag|salario|lidí'))[1:240]"
     words = "trim(regexp_replace(replace(replace(translate(lower(coalesce(company, '')), '{a}', '{p}'), 'ß', 'ss'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))".format(a=T._ACCENTED, p=T._PLAIN)
     plain = lambda n: " ".join("".join(c if c.isalnum() and c.isascii() else " " for c in T._fold_name(n)).split())
     both = words.replace("coalesce(company, '')", "concat_ws(chr(10), company, title)")
@@ -180,7 +175,7 @@ def sql() -> dict[str, str]:
     return {
         "term_hits_substring": f"SELECT doc_id, array_to_string(list_transform(h, lambda t: t.t), ',') AS hits, len(h) AS n_hits FROM (SELECT doc_id, {sub} AS h FROM documents)",
         "term_hits_token": f"SELECT page_id, array_to_string(list_filter({tokens}, lambda t: t IS NOT NULL), ',') AS hits FROM pages",
-        "page_text_compact": f"""SELECT doc_id, left(array_to_string(l[1:5], chr(10)) || CASE WHEN len({important}) > 0 THEN chr(10) || chr(10) || 'LIKELY RELEVANT LINES:' || chr(10) || array_to_string({important}, chr(10)) ELSE '' END, 900) AS compact
+        "page_text_compact": f"""SELECT doc_id, left(array_to_string(l[1:180], chr(10)) || CASE WHEN len({relevant}) > 0 THEN chr(10) || chr(10) || 'LIKELY RELEVANT LINES:' || chr(10) || array_to_string({relevant}, chr(10)) ELSE '' END, 14000) AS compact
             FROM (SELECT doc_id, {lines} AS l FROM documents)""",
         "page_text_compact_full": f"""SELECT doc_id, left(array_to_string(l[1:180], chr(10)) || CASE WHEN len({relevant}) > 0 THEN chr(10) || chr(10) || 'LIKELY RELEVANT LINES:' || chr(10) || array_to_string({relevant}, chr(10)) ELSE '' END, 14000) AS compact
             FROM (SELECT doc_id, {lines} AS l FROM documents)""",
